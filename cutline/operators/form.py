@@ -78,7 +78,7 @@ def form_columns(at: str) -> dict[str, Column]:
 def rest_days(cutoff: str, last_match: str, default: int = DEFAULT_REST_DAYS) -> Column:
     """Whole days from the last match to the cut-off, never negative."""
     whole = F.floor(days_between(cutoff, last_match)).cast("int")
-    return F.coalesce(F.greatest(F.lit(0), whole), F.lit(default))
+    return F.when(whole >= 0, whole).when(whole < 0, 0).otherwise(default)
 
 
 def rest_days_v1(kickoff: str, last_match: str) -> Column:
