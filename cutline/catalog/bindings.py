@@ -141,7 +141,7 @@ class Views:
             e.alias("event_id"),
             F.when(F.col("event_type") == "purchase", "Shot").otherwise(F.initcap("event_type")).alias("type_name"),
             (k % 3).alias("side"),
-            F.round(F.col("value") / 1000, 4).alias("xg"),
+            (F.floor("value") / 1000.0).alias("xg"),
             pick(PATTERNS, F.floor(k / 3) % 4).alias("play_pattern"),
         )
         sides = self.duels.select("match_id", "home_team_id", "away_team_id")
@@ -246,7 +246,7 @@ FROM events JOIN duels d ON d.match_id = event_id // 4"""),
 SELECT d.match_id, event_id,
   CASE WHEN event_type = 'purchase' THEN 'Shot' ELSE upper(substr(event_type, 1, 1)) || substr(event_type, 2) END AS type_name,
   CASE {_JK} % 3 WHEN 0 THEN home_team_id WHEN 1 THEN away_team_id END AS team_id,
-  round(value / 1000, 4) AS xg, {sql_pick(PATTERNS, f'({_JK} // 3) % 4')} AS play_pattern
+  floor(value) / 1000.0::DOUBLE AS xg, {sql_pick(PATTERNS, f'({_JK} // 3) % 4')} AS play_pattern
 FROM events JOIN duels d ON d.match_id = event_id // 20"""),
     "shot_meta": (("duels",), "SELECT match_id, kickoff_at AS match_at, home_team_id, away_team_id FROM duels"),
     "raw_names": ((), f"""

@@ -15,9 +15,11 @@ FLAT = E.EloConfig()
 DECAYED = E.EloConfig(time_decay_per_day=0.0005, mov_multiplier=1.0, equal_time="last")
 
 
-def elo_sql(decay: float = 0.0, mov: bool = False, importance: bool = False) -> str:
+def elo_sql(
+    decay: float = 0.0, mov: bool = False, importance: bool = False, src: str = "duels", edge: float = 60.0, fixed: str = "1.0"
+) -> str:
     """Step through each pool's matches in order; ratings and their times live in two lists."""
-    imp = "coalesce(c.importance_weight, 1.0)" if importance else "1.0"
+    imp = "coalesce(c.importance_weight, 1.0)" if importance else fixed
     imp_join = "LEFT JOIN competitions c USING (competition_id)" if importance else ""
     rate = (
         "st.r[{i}] * exp(-" + repr(decay) + "::DOUBLE * greatest(0, m.us - st.t[{i}]) / 86400000000.0::DOUBLE)"
@@ -32,10 +34,10 @@ m AS MATERIALIZED (
     CAST(substr(home_team_id, 4) AS INTEGER) + 1 AS h, CAST(substr(away_team_id, 4) AS INTEGER) + 1 AS a,
     CASE WHEN home_advances THEN 1.0::DOUBLE WHEN NOT home_advances THEN 0.0 WHEN home_goals_90 > away_goals_90 THEN 1.0
       WHEN home_goals_90 < away_goals_90 THEN 0.0 ELSE 0.5 END AS score,
-    CASE WHEN neutral_venue THEN 0.0::DOUBLE ELSE 60.0 END AS edge,
+    CASE WHEN neutral_venue THEN 0.0::DOUBLE ELSE {edge} END AS edge,
     greatest(5.0, least(40.0, 20.0::DOUBLE * {imp})) AS k,
     coalesce(1 + log2(1 + abs(home_goals_90 - away_goals_90)), 1.0) AS mov
-  FROM duels {imp_join} WHERE home_advances IS NOT NULL OR (home_goals_90 IS NOT NULL AND away_goals_90 IS NOT NULL)),
+  FROM {src} {imp_join} WHERE home_advances IS NOT NULL OR (home_goals_90 IS NOT NULL AND away_goals_90 IS NOT NULL)),
 st AS (
   SELECT DISTINCT pool, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS match_id,
     list_transform(range(25), lambda x: 1500.0::DOUBLE) AS r, list_transform(range(25), lambda x: 0::BIGINT) AS t,

@@ -39,15 +39,16 @@ def write_manifest(path: str, tables: dict[str, DataFrame]) -> None:
         write_table(df, f"{path}/{name}", "json")
 
 
-def synthetic_matches(spark: SparkSession, n: int, seed: int = 42, n_teams: int = 32) -> DataFrame:
-    """n weekly matches with hashed teams and goals; a drawn match gets a hashed advancer.
+def synthetic_matches(ids: DataFrame, seed: int = 42, n_teams: int = 32) -> DataFrame:
+    """One weekly match per ``id`` with hashed teams and goals; a draw gets a hashed advancer.
 
-    Every value derives from (row id, seed), so any partitioning yields the same rows.
+    ``ids`` is any table with a whole-number ``id`` (``spark.range(n)`` for n matches). Every value
+    derives from (id, seed), so any partitioning yields the same rows.
     """
     h = lambda salt, mod: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(mod))
     home = h("home", n_teams)
     away = F.pmod(home + 1 + h("away", n_teams - 1), F.lit(n_teams))
-    df = spark.range(n).withColumns({"_h": home, "_a": away, "_hg": h("hg", 5).cast("int"), "_ag": h("ag", 5).cast("int")})
+    df = ids.select("id").withColumns({"_h": home, "_a": away, "_hg": h("hg", 5).cast("int"), "_ag": h("ag", 5).cast("int")})
     name = lambda c: F.concat(F.lit("team_"), F.lpad(F.col(c).cast("string"), 3, "0"))
     adv = (F.when(F.col("_hg") > F.col("_ag"), True).when(F.col("_hg") < F.col("_ag"), False)
            .otherwise(h("adv", 2) == 0))
