@@ -1,8 +1,201 @@
-"""Queries."""
+"""Model queries: fits have no SQL twin, the tables around them do where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from cutline.catalog.features import V1_SQL, V1_VIEWS, features, v1_features
 from cutline.catalog.registry import Registry
+from cutline.operators import models as M
+from cutline.operators.features import V1_FEATURES
+from cutline.operators.folds import positional_split
+from cutline.plans.store import materialize
 
 REGISTRY = Registry()
 query = REGISTRY.query
+
+
+def labelled_v1(v):
+    labels = v.results.select("match_id", F.col("home_advances").cast("int").alias("home_advances"))
+    return v1_features(v).join(labels, "match_id")
+
+
+def v1_parts(v):
+    rows = materialize(labelled_v1(v), "v1")
+    split = positional_split(rows.select("match_id", "kickoff_at")).select("match_id", "part")
+    return materialize(rows.join(split, "match_id"), "v1-split")
+
+
+@query(
+    "missing_indicators",
+    """SELECT match_id, CAST(market_probability IS NULL AS INTEGER) AS market_probability_isna, CAST(elo_probability IS NULL AS INTEGER) AS elo_probability_isna,
+      0 AS home_advance_probability_isna FROM scored""",
+    ("scored",),
+)
+def missing_indicators(v):
+    cols = ["market_probability", "elo_probability", "home_advance_probability"]
+    return M.add_missing_indicators(v.scored, cols).select("match_id", *[f"{c}_isna" for c in cols])
+
+
+NUMBERS = "SELECT 'l_quantity' AS feature, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', CASE WHEN l_linenumber <> 3 THEN l_discount END FROM lineitem"
+
+
+@query(
+    "training_scaling",
+    f"""WITH n AS ({NUMBERS}), m AS (SELECT feature, median(v) AS median FROM n GROUP BY 1)
+    SELECT feature, round(median, 6) AS median, round(avg(coalesce(v, median)), 6) AS mean, round(stddev_pop(coalesce(v, median)), 5) AS scale FROM n JOIN m USING (feature) GROUP BY ALL""",
+)
+def training_scaling(v):
+    """Exact medians, and mean and deviation after imputation."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    li = v.table("lineitem").withColumn("l_discount", F.when(F.col("l_linenumber") != 3, F.col("l_discount")))
+    s = M.fit_scaling(li, cols)
+    rows = [(c, s.median[c], s.mean[c], round(s.scale[c], 5)) for c in s.columns]
+    return v.spark.createDataFrame(rows, "feature string, median double, mean double, scale double")
+
+
+@query(
+    "feature_label_frame",
+    f"{V1_SQL} SELECT match_id, round(elo_difference, 6) + 0.0 AS elo_difference, round(form_difference, 6) + 0.0 AS form_difference, CAST(home_advances AS INTEGER) AS home_advances FROM v1 JOIN results USING (match_id)",
+    V1_VIEWS,
+)
+def feature_label_frame(v):
+    return labelled_v1(v).select("match_id", "elo_difference", "form_difference", "home_advances")
+
+
+@query(
+    "stack_inputs",
+    "SELECT match_id, round(coalesce(market_probability, 0.5 * (coalesce(elo_probability, 0.5) + home_advance_probability)), 6) AS market_filled FROM scored",
+    ("scored",),
+)
+def stack_inputs(v):
+    s = v.scored.select(
+        "match_id", "market_probability", F.coalesce("elo_probability", F.lit(0.5)).alias("elo_probability"),
+        F.col("home_advance_probability").alias("base_probability"),
+    )
+    return s.select("match_id", M.filled_market().alias("market_filled"))
+
+
+@query("logistic_predictions")
+def logistic_predictions(v):
+    """L2 logistic on the 15 features: fit on the first half, scored on the last quarter."""
+    rows = v1_parts(v)
+    model = M.fit_logistic(rows.filter("part = 'train'"), V1_FEATURES)
+    return model.predict(rows.filter("part = 'test'")).select("match_id", "home_advances", "base_probability")
+
+
+@query("logistic_importance")
+def logistic_importance(v):
+    model = M.fit_logistic(v1_parts(v).filter("part = 'train'"), V1_FEATURES)
+    return M.importance_table(v.spark, model.importance(), 10)
+
+
+@query("boosted_predictions")
+def boosted_predictions(v):
+    rows = v1_parts(v)
+    cfg = M.BoostConfig(iterations=8, depth=4)
+    model = M.fit_boosted(rows.filter("part = 'train'"), rows.filter("part = 'validation'"), V1_FEATURES, config=cfg)
+    return model.predict(rows.filter("part = 'test'")).select("match_id", "home_advances", "base_probability")
+
+
+def _stack_rows(v):
+    return v.scored.select(
+        "match_id", "kickoff_at", "home_advances", "market_probability",
+        F.coalesce("elo_probability", F.lit(0.5)).alias("elo_probability"),
+        F.col("home_advance_probability").alias("base_probability"),
+    )
+
+
+@query("stacked_predictions")
+def stacked_predictions(v):
+    rows = _stack_rows(v)
+    return M.fit_stacker(rows).predict(rows).select("match_id", "stacked_probability")
+
+
+@query("isotonic_calibration")
+def isotonic_calibration(v):
+    rows = v.scored.withColumnRenamed("home_advance_probability", "stacked_probability")
+    return M.fit_calibrator(rows).predict(rows).select("match_id", "calibrated_probability")
+
+
+@query("platt_calibration")
+def platt_calibration(v):
+    rows = v.scored.withColumnRenamed("home_advance_probability", "stacked_probability")
+    return M.fit_calibrator(rows, method="platt").predict(rows).select("match_id", "calibrated_probability")
+
+
+def labelled_features(v):
+    labels = v.results.select("match_id", F.col("home_advances").cast("int").alias("home_advances"))
+    return materialize(features(v).join(labels, "match_id"), "features")
+
+
+def _window(df, a, b):
+    return df.filter((F.col("kickoff_at") >= F.lit(a).cast("timestamp")) & (F.col("kickoff_at") <= F.lit(b).cast("timestamp")))
+
+
+WINDOWS = {"train": ("1995-01-01", "1998-12-31"), "validation": ("1999-01-01", "1999-12-31"), "test": ("2000-01-01", "2001-12-31")}
+
+
+def trained(v, rows):
+    from cutline.plans.training import TrainConfig, train
+
+    return train(_window(rows, *WINDOWS["train"]), _window(rows, *WINDOWS["validation"]), TrainConfig())
+
+
+@query("train_run_record")
+def train_run_record(v):
+    """Full training on temporal windows; one run row per component."""
+    from cutline.plans.training import TrainConfig, run_record
+
+    windows = {f"{k}_{e}": x for k, ab in WINDOWS.items() for e, x in zip(("start", "end"), ab, strict=True)}
+    return run_record(v.spark, trained(v, labelled_features(v)), "v0.1.0", windows, TrainConfig())
+
+
+@query("predict_ledger_rows")
+def predict_ledger_rows(v):
+    """Every match scored by the trained components, explained and ready to append."""
+    from cutline.plans.prediction import predict
+
+    rows = labelled_features(v)
+    return predict(_window(rows, *WINDOWS["test"]), "v0.1.0", trained(v, rows))
+
+
+@query("component_probabilities")
+def component_probabilities(v):
+    rows = labelled_features(v)
+    return trained(v, rows).components(_window(rows, *WINDOWS["validation"])).select("match_id", *M.STACK_INPUTS)
+
+
+@query("walk_forward_report")
+def walk_forward_report(v):
+    from cutline.catalog.metrics import walk_folds
+    from cutline.plans.backtest import backtest_report, walk_forward
+
+    folds = walk_folds(v).filter(F.year("train_end").isin(1999, 2001))
+    rows = features(v).join(
+        v.results.select("match_id", F.col("home_advances").cast("int").alias("home_advances")), "match_id"
+    )
+    return backtest_report(walk_forward(rows, folds))["folds"]
+
+
+def _report(v):
+    from cutline.plans.report import baseline_report
+
+    rows = materialize(labelled_v1(v), "v1")
+    split = positional_split(rows.select("match_id", "kickoff_at")).select("match_id", "part")
+    return baseline_report(rows, split)
+
+
+@query("baseline_report_metrics")
+def baseline_report_metrics(v):
+    return _report(v)["metrics"]
+
+
+@query("baseline_report_reliability")
+def baseline_report_reliability(v):
+    return _report(v)["reliability"]
+
+
+@query("logistic_symmetry")
+def logistic_symmetry(v):
+    return _report(v)["symmetry"]
