@@ -16,6 +16,7 @@ from cutline.operators import elo as E
 from cutline.operators import features as O
 from cutline.operators import lineup as L
 from cutline.operators.folds import mirror
+from cutline.plans.store import materialize
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -25,8 +26,9 @@ V1_CONFIG = E.EloConfig(home_advantage=0.0)
 
 
 def rating_table(v, config=CONFIG):
+    """The rating history as a stored table: later jobs read it, none refits it."""
     rows = v.results.join(v.competitions, "competition_id", "left")
-    return E.elo_ratings(rows, config, pool="competition_id", importance="importance_weight")
+    return materialize(E.elo_ratings(rows, config, pool="competition_id", importance="importance_weight"), "ratings")
 
 
 def features(v):
@@ -142,7 +144,7 @@ def v1_matches(v):
 
 def v1_ratings(v):
     rows = v.results.withColumns({"neutral_venue": F.lit(True), "importance": F.lit(2.0)})
-    return E.elo_ratings(rows, V1_CONFIG, pool="competition_id", importance="importance")
+    return materialize(E.elo_ratings(rows, V1_CONFIG, pool="competition_id", importance="importance"), "ratings")
 
 
 def v1_features(v):

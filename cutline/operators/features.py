@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from cutline.functions import probability as P
 from cutline.functions.stages import is_knockout_match, stage_one_hot
-from cutline.functions.timeutil import hours_before
-from cutline.operators.elo import EloConfig, rating_asof, rating_column, rating_spec
+from cutline.functions.timeutil import days_between, hours_before
+from cutline.operators.elo import EloConfig, rating_column, rating_spec
 from cutline.operators.events import event_specs, event_total_columns, team_event_history
 from cutline.operators.form import (
     FORM_HALF_LIFE,
-    decayed_goal_diff,
+    V1_HALF_LIFE,
     form_columns,
     form_specs,
-    opponent_weighted_form,
+    is_scored,
+    rank_window,
+    ranked_history,
     rest_days_v1,
     team_rows,
+    v1_points,
 )
 from cutline.operators.lineup import LINEUP_COLUMNS, availability_before, lineup_counts, lineup_diff
 from cutline.operators.market import market_consensus
-from cutline.operators.pit import SLICE_DAYS, Latest, pit_lookup
+from cutline.operators.pit import SLICE_DAYS, Latest, Total, pit_lookup
 
 CUTOFFS_HOURS = {"T-24h": 24.0, "T-6h": 6.0, "T-75min": 1.25}
 
@@ -234,6 +237,32 @@ def feature_table(
     return out.select(*IDENTITY, "market_probability", "source_data_max_timestamp", *FEATURES)
 
 
+FORM_ROWS, DIFF_ROWS = 5, 8
+
+
+def v1_requests(sides: DataFrame) -> DataFrame:
+    """Per match the history rows it needs: (team, kind, rank) of both sides.
+
+    Kind ``form`` counts all matches, ``diff`` those with both scores. A side without history
+    keeps one row without a rank.
+    """
+
+    def ask(p: str, team: str, rival: str, r: str, kind: str, k: str, n: int) -> Column:
+        ranks = F.coalesce(rank_window(F.col(f"{p}_{k}"), n), F.array(F.lit(None).cast("bigint")))
+        return F.transform(ranks, lambda x: F.struct(
+            F.lit(p).alias("side"), F.lit(kind).alias("kind"), F.col(team).alias("team_id"), x.alias("rank"),
+            F.col(rival).alias("rival"), F.col(f"{r}_rating").alias("rival_rating"),
+        ))
+
+    home, away = "home_team_id", "away_team_id"
+    asks = F.flatten(F.array(
+        ask("h", home, away, "a", "form", "k", FORM_ROWS), ask("a", away, home, "h", "form", "k", FORM_ROWS),
+        ask("h", home, away, "a", "diff", "kd", DIFF_ROWS), ask("a", away, home, "h", "diff", "kd", DIFF_ROWS),
+    ))
+    keep = [c for c in sides.columns if c not in ("h_k", "a_k", "h_kd", "a_kd")]
+    return sides.select(*keep, F.explode(asks).alias("q")).select(*keep, "q.*")
+
+
 def v1_feature_table(
     matches: DataFrame,
     results: DataFrame,
@@ -245,50 +274,65 @@ def v1_feature_table(
 ) -> DataFrame:
     """The 15 pre-registered features at kickoff minus 24 hours.
 
-    ``matches``: match_id, kickoff_at, home_team_id, away_team_id, stage_canonical.
+    ``matches``: match_id, kickoff_at, home_team_id, away_team_id, stage_canonical. One merged
+    look-up gives ratings, last match and history positions; one equi-join on (team, kind, rank)
+    fetches the last five results and last eight goal differences of both sides.
     """
     cfg = config or EloConfig(home_advantage=0.0)
     spine = with_cutoff(matches, hours)
-    teams = team_cutoffs(spine)
     history = team_rows(results)
-    elo = rating_asof(ratings, teams, cfg, slice_days=slice_days)
-    sides = join_sides(spine, elo)
-    ask = lambda t, o, r: sides.select(
-        F.col(f"{t}_team_id").alias("team_id"), "cutoff_time",
-        F.col(f"{o}_team_id").alias("opponent_id"), F.col(f"{r}_rating").alias("opponent_rating"),
-    )
-    asks = ask("home", "away", "a").unionByName(ask("away", "home", "h")).distinct()
-    form = opponent_weighted_form(history, asks, slice_days=slice_days).select(
-        "team_id", "opponent_id", "cutoff_time", "form"
-    )
-    diff = decayed_goal_diff(history, teams, slice_days=slice_days)
-    last = pit_lookup(
-        [(history, "kickoff_at", {"last_match_at": Latest(F.col("kickoff_at"))})],
-        teams, keys=["team_id"], at="cutoff_time", slice_days=slice_days,
+    found = pit_lookup(
+        [
+            (history, "kickoff_at", {
+                "k": Total(F.lit(1)),
+                "kd": Total(F.when(is_scored(), 1)),
+                "last_match_at": Latest(F.col("kickoff_at")),
+            }),
+            (ratings, "kickoff_at", {"_r": rating_spec(cfg)}),
+        ],
+        team_cutoffs(spine), keys=["team_id"], at="cutoff_time", slice_days=slice_days,
+    ).select("team_id", "cutoff_time", "k", "kd", "last_match_at", rating_column("_r", "cutoff_time", cfg).alias("rating"))
+    sides = join_sides(spine, found)
+    ranked = ranked_history(history, slice_days, {"rank_diff": is_scored()})
+    rows = ranked.select(
+        "team_id", F.col("kickoff_at").alias("past_at"), F.col("opponent_id").alias("past_opponent"),
+        v1_points().alias("points"), (F.col("goals_for") - F.col("goals_against")).alias("diff"),
+        F.explode(F.array(
+            F.struct(F.lit("form").alias("kind"), F.col("rank").alias("rank")),
+            F.struct(F.lit("diff").alias("kind"), F.when(is_scored(), F.col("rank_diff")).alias("rank")),
+        )).alias("p"),
+    ).select("team_id", "p.*", "past_at", "past_opponent", "points", "diff").filter(F.col("rank").isNotNull())
+    asked = v1_requests(sides).join(rows, ["team_id", "kind", "rank"], "left")
+    decayed = P.decay(days_between("cutoff_time", "past_at"), V1_HALF_LIFE, True)
+    strength = F.when(F.col("past_opponent") == F.col("rival"), F.col("rival_rating")).otherwise(1500.0)
+    w = F.when(F.col("kind") == "form", decayed * strength).otherwise(decayed)
+    value = F.when(F.col("kind") == "form", F.col("points")).otherwise(F.col("diff"))
+
+    def mean(side: str, kind: str) -> Column:
+        mine = (F.col("side") == side) & (F.col("kind") == kind)
+        total = F.sum(F.when(mine, w))
+        return F.when(total != 0, F.sum(F.when(mine, w * value)) / total).otherwise(0.0)
+
+    base = [*IDENTITY, "stage_canonical"]
+    scalars = ["h_rating", "a_rating", "h_last_match_at", "a_last_match_at"]
+    out = asked.groupBy(*base, *scalars).agg(
+        mean("h", "form").alias("form_home"), mean("a", "form").alias("form_away"),
+        mean("h", "diff").alias("goal_diff_home"), mean("a", "diff").alias("goal_diff_away"),
     )
-    out = join_sides(sides, diff.join(last, ["team_id", "cutoff_time"], "full_outer"))
-    for side, other, p in (("home", "away", "h"), ("away", "home", "a")):
-        own = form.select(
-            F.col("team_id").alias(f"{side}_team_id"), F.col("opponent_id").alias(f"{other}_team_id"),
-            "cutoff_time", F.col("form").alias(f"{p}_form"),
-        )
-        out = out.join(own, ["home_team_id", "away_team_id", "cutoff_time"], "left")
-    gd = lambda p: F.coalesce(F.col(f"{p}_goal_diff"), F.lit(0.0))
-    rest = lambda p: rest_days_v1("kickoff_at", f"{p}_last_match_at")
+    rest_home, rest_away = rest_days_v1("kickoff_at", "h_last_match_at"), rest_days_v1("kickoff_at", "a_last_match_at")
     return out.select(
-        *IDENTITY,
-        "stage_canonical",
+        *base,
         (F.col("h_rating") - F.col("a_rating")).alias("elo_difference"),
         P.expected_score("h_rating", "a_rating").alias("elo_home_win_prob"),
-        (F.col("h_form") - F.col("a_form")).alias("form_difference"),
-        F.col("h_form").alias("form_home"),
-        F.col("a_form").alias("form_away"),
-        (gd("h") - gd("a")).alias("goal_diff_difference"),
-        gd("h").alias("goal_diff_home"),
-        gd("a").alias("goal_diff_away"),
-        (rest("h") - rest("a")).alias("rest_days_difference"),
-        rest("h").alias("rest_days_home"),
-        rest("a").alias("rest_days_away"),
+        (F.col("form_home") - F.col("form_away")).alias("form_difference"),
+        "form_home",
+        "form_away",
+        (F.col("goal_diff_home") - F.col("goal_diff_away")).alias("goal_diff_difference"),
+        "goal_diff_home",
+        "goal_diff_away",
+        (rest_home - rest_away).alias("rest_days_difference"),
+        rest_home.alias("rest_days_home"),
+        rest_away.alias("rest_days_away"),
         *[c.alias(n) for n, c in stage_one_hot("stage_canonical").items()],
     )
 

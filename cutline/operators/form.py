@@ -51,7 +51,7 @@ def form_specs(half_life_days: float) -> dict[str, Latest | Total]:
     """
     if 0 < half_life_days < MIN_HALF_LIFE:
         raise ValueError(f"half life must be at least {MIN_HALF_LIFE} days, or <= 0 for no decay")
-    scored = F.col("goals_for").isNotNull() & F.col("goals_against").isNotNull()
+    scored = is_scored()
     weight = (
         F.lit(1.0)
         if half_life_days <= 0
@@ -105,7 +105,13 @@ def decayed_form(
     return looked.withColumns(form_columns(at)).drop("_w", "_wp", "_wg")
 
 
-def ranked_history(history: DataFrame, slice_days: float | None = SLICE_DAYS) -> DataFrame:
+def is_scored() -> Column:
+    return F.col("goals_for").isNotNull() & F.col("goals_against").isNotNull()
+
+
+def ranked_history(
+    history: DataFrame, slice_days: float | None = SLICE_DAYS, counts: dict[str, Column] | None = None
+) -> DataFrame:
     """Number each team's matches in time; of equal times the smaller id counts as more recent."""
     return sliced_rank(
         history,
@@ -113,10 +119,16 @@ def ranked_history(history: DataFrame, slice_days: float | None = SLICE_DAYS) ->
         ts="kickoff_at",
         order=[F.col("kickoff_at"), F.col("match_id").desc()],
         out="rank",
+        counts=counts,
         slice_days=slice_days,
     )
 
 
+def rank_window(k: Column, n: int) -> Column:
+    """Ranks of the newest ``n`` of ``k`` rows; null when there are none."""
+    return F.when(k > 0, F.sequence(F.greatest(F.lit(1), k - (n - 1)), k))
+
+
 def last_n(
     history: DataFrame,
     cutoffs: DataFrame,
@@ -138,12 +150,7 @@ def last_n(
         at=at,
         slice_days=slice_days,
     )
-    wanted = counts.filter(F.col("k") > 0).select(
-        "team_id",
-        at,
-        "k",
-        F.explode(F.sequence(F.greatest(F.lit(1), F.col("k") - (n - 1)), F.col("k"))).alias("rank"),
-    )
+    wanted = counts.select("team_id", at, "k", F.explode(rank_window(F.col("k"), n)).alias("rank"))
     return wanted.join(ranked, ["team_id", "rank"]).withColumn(
         "recency", F.col("k") - F.col("rank") + 1
     ).drop("k", "rank")
@@ -192,7 +199,7 @@ def decayed_goal_diff(
     slice_days: float | None = SLICE_DAYS,
 ) -> DataFrame:
     """Decayed goal difference of the last ``n`` scored matches per (team, cut-off)."""
-    scored = history.filter(F.col("goals_for").isNotNull() & F.col("goals_against").isNotNull())
+    scored = history.filter(is_scored())
     spine = cutoffs.select("team_id", "cutoff_time").distinct()
     past = last_n(scored, spine, n, slice_days=slice_days)
     w = P.decay(days_between("cutoff_time", "kickoff_at"), half_life_days, True)

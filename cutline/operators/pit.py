@@ -135,29 +135,34 @@ def sliced_rank(
     ts: str,
     order: list[Column],
     out: str = "rank",
+    counts: dict[str, Column] | None = None,
     slice_days: float | None = SLICE_DAYS,
 ) -> DataFrame:
     """1-based position of each row within its key, in time order.
 
     ``row_number`` inside a slice plus the number of rows in earlier slices; with ``keys=[]`` it
-    numbers the whole table without gathering it in one task.
+    numbers the whole table without gathering it in one task. ``counts`` adds further running
+    counts: {output: condition}, the row itself included.
     """
+    extra = counts or {}
     work = df.withColumn("_slice", slice_id(F.col(ts), slice_days))
-    counts = work.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice")
-    counts = counts.select(
-        *keys,
-        "_slice",
-        F.coalesce(
-            F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
+    totals = work.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_n_{o}") for o, c in extra.items()]
+    )
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    carry = totals.select(
+        *keys, "_slice", carried("_n").alias("_before"), *[carried(f"_n_{o}").alias(f"_b_{o}") for o in extra]
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return (
-        work.withColumn("_pos", F.row_number().over(inside))
-        .join(counts, [*keys, "_slice"])
-        .withColumn(out, F.col("_pos") + F.col("_before"))
-        .drop("_slice", "_pos", "_before")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = work.select(
+        "*", F.row_number().over(inside).alias("_pos"), *[F.count_if(c).over(upto).alias(f"_p_{o}") for o, c in extra.items()]
+    )
+    return placed.join(carry, [*keys, "_slice"]).select(
+        *df.columns,
+        (F.col("_pos") + F.col("_before")).alias(out),
+        *[(F.col(f"_p_{o}") + F.col(f"_b_{o}")).alias(o) for o in extra],
     )
 
 
