@@ -262,9 +262,8 @@ def fit_boosted(
     scaling = fit_scaling(rows.filter(~F.col("_val")), names)
     gbt = GBTClassifier(
         featuresCol="features", labelCol="_y", maxIter=cfg.iterations, stepSize=cfg.learning_rate,
-        maxDepth=cfg.depth, seed=cfg.seed, validationTol=cfg.early_stop_tol, probabilityCol="_prob",
-        rawPredictionCol="_raw", predictionCol="_pred",
-    )
+        maxDepth=cfg.depth, seed=cfg.seed, validationTol=cfg.early_stop_tol, predictionCol="_pred",
+    ).setProbabilityCol("_prob").setRawPredictionCol("_raw")
     if validation is not None:
         gbt = gbt.setValidationIndicatorCol("_val")
     return BoostModel(scaling, gbt.fit(scaling.apply(rows)), cols, indexers)
