@@ -49,7 +49,7 @@ FORM_SQL = f"""form AS (
   GROUP BY ALL)"""
 ELO_AT = """elo_at AS (
   SELECT c.team_id, c.cutoff_time, coalesce(h.rating, 1500.0) AS rating, h.kickoff_at AS rating_at
-  FROM team_cutoffs c ASOF LEFT JOIN hist h ON c.team_id = h.team_id AND h.kickoff_at <= c.cutoff_time)"""
+  FROM team_cutoffs c ASOF LEFT JOIN hist_at h ON c.team_id = h.team_id AND h.kickoff_at <= c.cutoff_time)"""
 EVENT_AT = """ev_at AS (
   SELECT c.team_id, c.cutoff_time, round(sum(xg), 4) AS xg, sum(box) AS box, round(sum(spxg), 4) AS spxg, count(e.team_id) AS used, max(e.match_at) AS event_at
   FROM team_cutoffs c LEFT JOIN ehist e ON e.team_id = c.team_id AND e.match_at < c.cutoff_time GROUP BY ALL)"""

@@ -16,9 +16,15 @@ DECAYED = E.EloConfig(time_decay_per_day=0.0005, mov_multiplier=1.0, equal_time=
 
 
 def elo_sql(
-    decay: float = 0.0, mov: bool = False, importance: bool = False, src: str = "duels", edge: float = 60.0, fixed: str = "1.0"
+    decay: float = 0.0, mov: bool = False, importance: bool = False, src: str = "duels", edge: float = 60.0, fixed: str = "1.0",
+    first: bool = True,
 ) -> str:
-    """Step through each pool's matches in order; ratings and their times live in two lists."""
+    """Step through each pool's matches in order; ratings and their times live in two lists.
+
+    With ``first``, a second match of a team at the same instant leaves its stored rating alone.
+    """
+    own = lambda side: f"WHEN {side} THEN CASE WHEN t[{side}] = us THEN x ELSE {side}0 {'+' if side == 'h' else '-'} d END" if first else f"WHEN {side} THEN {side}0 {'+' if side == 'h' else '-'} d"
+    tie = "arg_min" if first else "arg_max"
     imp = "coalesce(c.importance_weight, 1.0)" if importance else fixed
     imp_join = "LEFT JOIN competitions c USING (competition_id)" if importance else ""
     rate = (
@@ -44,7 +50,7 @@ st AS (
     0.0::DOUBLE AS h0, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS a1 FROM m
   UNION ALL
   SELECT pool, n, match_id,
-    list_transform(r, lambda x, i: CASE i WHEN h THEN h0 + d WHEN a THEN a0 - d ELSE x END),
+    list_transform(r, lambda x, i: CASE i {own('h')} {own('a')} ELSE x END),
     list_transform(t, lambda x, i: CASE WHEN i = h OR i = a THEN us ELSE x END),
     h0, a0, h0 + d, a0 - d
   FROM (
@@ -56,7 +62,8 @@ st AS (
 hist AS (
   SELECT st.pool, st.match_id, m.kickoff_at, m.home_team_id AS team_id, h0 AS rating_before, h1 AS rating FROM st JOIN m USING (pool, match_id)
   UNION ALL
-  SELECT st.pool, st.match_id, m.kickoff_at, m.away_team_id, a0, a1 FROM st JOIN m USING (pool, match_id))"""
+  SELECT st.pool, st.match_id, m.kickoff_at, m.away_team_id, a0, a1 FROM st JOIN m USING (pool, match_id)),
+hist_at AS (SELECT team_id, kickoff_at, {tie}(rating, match_id) AS rating FROM hist GROUP BY ALL)"""
 
 
 def history(v, config=FLAT, importance=False, max_rows=None):
@@ -79,7 +86,7 @@ def elo_ratings(v):
     return history(v).drop("seq")
 
 
-@query("elo_ratings_decay_margin", elo_sql(0.0005, True, True) + HISTORY_SELECT, ("duels", "competitions"))
+@query("elo_ratings_decay_margin", elo_sql(0.0005, True, True, first=False) + HISTORY_SELECT, ("duels", "competitions"))
 def elo_ratings_decay_margin(v):
     return history(v, DECAYED, True).drop("seq")
 
@@ -93,14 +100,14 @@ def elo_ratings_in_time_slices(v):
 @query(
     "rating_history",
     elo_sql() + """
-SELECT pool, team_id, count(*) AS matches, round(max(rating), 6) AS best, round(arg_max(rating, kickoff_at), 6) AS latest
+SELECT pool, team_id, count(*) AS matches, round(max(rating), 6) AS best, round(arg_max(rating, (kickoff_at, match_id)), 6) AS latest
 FROM hist GROUP BY ALL""",
     ("duels",),
 )
 def rating_history(v):
     return history(v).groupBy("pool", "team_id").agg(
         F.count(F.lit(1)).alias("matches"), F.max("rating").alias("best"),
-        F.max_by("rating", "kickoff_at").alias("latest"),
+        F.max_by("rating", F.struct("kickoff_at", "seq")).alias("latest"),
     )
 
 
@@ -117,7 +124,7 @@ def elo_zero_sum(v):
 
 ASOF = """, at_cut AS (
   SELECT c.team_id, c.cutoff_time, coalesce(h.rating, 1500.0) AS rating
-  FROM team_cutoffs c ASOF LEFT JOIN hist h ON c.team_id = h.team_id AND h.kickoff_at <= c.cutoff_time)"""
+  FROM team_cutoffs c ASOF LEFT JOIN hist_at h ON c.team_id = h.team_id AND h.kickoff_at <= c.cutoff_time)"""
 
 
 @query(
@@ -137,7 +144,7 @@ def rating_asof(v):
   SELECT c.team_id, c.kickoff_at, round(coalesce(h.rating, 1500.0), 6) AS rating
   FROM (SELECT DISTINCT team_id, kickoff_at FROM (SELECT home_team_id AS team_id, kickoff_at FROM duels UNION ALL
         SELECT away_team_id, kickoff_at FROM duels)) c
-  ASOF LEFT JOIN hist h ON c.team_id = h.team_id AND h.kickoff_at < c.kickoff_at""",
+  ASOF LEFT JOIN hist_at h ON c.team_id = h.team_id AND h.kickoff_at < c.kickoff_at""",
     ("duels",),
 )
 def rating_asof_strict(v):
