@@ -33,9 +33,12 @@ def strip_accents(c: Column | str) -> Column:
     return F.translate(_col(c), src, dst)
 
 
+_BLANKS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
+
+
 def trim_all(c: Column | str) -> Column:
     """Trim any Unicode white space, not only the space character."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(_BLANKS))
 
 
 def canonical_key(c: Column | str) -> Column:

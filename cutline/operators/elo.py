@@ -225,21 +225,20 @@ def last_of_team(history: DataFrame, config: EloConfig) -> DataFrame:
     )
 
 
-def rating_spec(config: EloConfig, inclusive: bool = True) -> Latest:
+def rating_specs(config: EloConfig, inclusive: bool = True) -> dict[str, Latest]:
     """Rating and its time as of a cut-off, with the tie rule of the scan."""
-    return Latest(
-        F.struct("rating", "kickoff_at"),
-        (F.col("seq"),),
-        first=config.equal_time == "first",
-        inclusive=inclusive,
-    )
+    first = config.equal_time == "first"
+    return {
+        name: Latest(F.col(c), (F.col("seq"),), first, inclusive)
+        for name, c in (("_rating", "rating"), ("_rated_at", "kickoff_at"))
+    }
 
 
-def rating_column(found: str, at: str, config: EloConfig):
-    """Rating with idle decay from a looked-up (rating, kickoff_at) struct."""
-    value = F.col(f"{found}.rating")
+def rating_column(at: str, config: EloConfig):
+    """Looked-up rating with idle decay; the initial rating where there is none."""
+    value = F.col("_rating")
     if config.time_decay_per_day > 0:
-        age = F.greatest(F.lit(0.0), days_between(at, f"{found}.kickoff_at"))
+        age = F.greatest(F.lit(0.0), days_between(at, "_rated_at"))
         factor = F.exp(F.lit(-config.time_decay_per_day) * age)
         value = config.decay_target + (value - config.decay_target) * factor
     return F.coalesce(value, F.lit(config.initial_rating))
@@ -258,10 +257,10 @@ def rating_asof(
     """Rating of each (team, cut-off); the initial rating where nothing is known yet."""
     cfg, keys = config or EloConfig(), keys or ["team_id"]
     found = pit_lookup(
-        [(history, "kickoff_at", {"_r": rating_spec(cfg, inclusive)})],
+        [(history, "kickoff_at", rating_specs(cfg, inclusive))],
         cutoffs, keys=keys, at=at, slice_days=slice_days,
     )
-    return found.withColumn("rating", rating_column("_r", at, cfg)).drop("_r")
+    return found.select(*keys, at, rating_column(at, cfg).alias("rating"))
 
 
 def elo_probability(
@@ -299,5 +298,5 @@ def rating_steps(history: DataFrame) -> DataFrame:
 
 __all__ = [
     "EloConfig", "MAX_ROWS_PER_TASK", "elo_input", "elo_probability", "elo_ratings", "rating_asof",
-    "rating_column", "rating_spec", "rating_steps", "time_slices",
+    "rating_column", "rating_specs", "rating_steps", "time_slices",
 ]

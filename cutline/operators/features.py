@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cutline.functions import probability as P
 from cutline.functions.stages import is_knockout_match, stage_one_hot
 from cutline.functions.timeutil import days_between, hours_before
-from cutline.operators.elo import EloConfig, rating_column, rating_spec
+from cutline.operators.elo import EloConfig, rating_column, rating_specs
 from cutline.operators.events import event_specs, event_total_columns, team_event_history
 from cutline.operators.form import (
     FORM_HALF_LIFE,
@@ -100,7 +100,7 @@ def team_block(
     specs = form_specs(half_life_days)
     sources = [
         (team_rows(results), "kickoff_at", specs),
-        (ratings, "kickoff_at", {"_r": rating_spec(cfg)}),
+        (ratings, "kickoff_at", rating_specs(cfg)),
     ]
     if events is not None:
         own = {**event_specs(), "_last_event": Latest(F.col("match_at"))}
@@ -109,9 +109,8 @@ def team_block(
         sources, team_cutoffs(spine), keys=["team_id"], at="cutoff_time", slice_days=slice_days
     )
     cols: dict[str, Column] = {
-        "elo": rating_column("_r", "cutoff_time", cfg),
+        "elo": rating_column("cutoff_time", cfg),
         **form_columns("cutoff_time"),
-        "_rating_at": F.col("_r.kickoff_at"),
     }
     if events is not None:
         cols |= event_total_columns()
@@ -122,7 +121,7 @@ def team_block(
     return out.select(
         "team_id", "cutoff_time", "elo", "weighted_points", "weighted_goal_difference", "rest_days",
         "xg_total", "shots_in_box_total", "set_piece_xg_total", "events_available",
-        F.greatest("_rating_at", "last_match_at", "_last_event").alias("team_source_at"),
+        F.greatest("_rated_at", "last_match_at", "_last_event").alias("team_source_at"),
     )
 
 
@@ -288,10 +287,10 @@ def v1_feature_table(
                 "kd": Total(F.when(is_scored(), 1)),
                 "last_match_at": Latest(F.col("kickoff_at")),
             }),
-            (ratings, "kickoff_at", {"_r": rating_spec(cfg)}),
+            (ratings, "kickoff_at", rating_specs(cfg)),
         ],
         team_cutoffs(spine), keys=["team_id"], at="cutoff_time", slice_days=slice_days,
-    ).select("team_id", "cutoff_time", "k", "kd", "last_match_at", rating_column("_r", "cutoff_time", cfg).alias("rating"))
+    ).select("team_id", "cutoff_time", "k", "kd", "last_match_at", rating_column("cutoff_time", cfg).alias("rating"))
     sides = join_sides(spine, found)
     ranked = ranked_history(history, slice_days, {"rank_diff": is_scored()})
     rows = ranked.select(

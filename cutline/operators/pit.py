@@ -19,7 +19,11 @@ SLICE_DAYS = 90
 
 @dataclass(frozen=True)
 class Latest:
-    """Latest non-null value; ``order`` breaks equal times, ``first`` keeps the first of them."""
+    """Latest non-null value; ``order`` breaks equal times, ``first`` keeps the first of them.
+
+    Without ``order`` equal times give the largest value. Plain numbers and times as value and a
+    single order column keep the aggregation in the hash path.
+    """
 
     value: Column
     order: tuple[Column, ...] = ()
@@ -46,9 +50,9 @@ def history_of(df: DataFrame, keys: list[str], ts: str, specs: dict[str, Latest
     cols = [F.col(k) for k in keys] + [F.col(ts).alias("_ts")]
     for name, spec in specs.items():
         cols.append(spec.value.alias(f"_v_{name}"))
-        if isinstance(spec, Latest):
-            order = spec.order or (F.lit(0),)
-            cols.append(F.when(spec.value.isNotNull(), F.struct(*order)).alias(f"_o_{name}"))
+        if isinstance(spec, Latest) and spec.order:
+            order = spec.order[0] if len(spec.order) == 1 else F.struct(*spec.order)
+            cols.append(F.when(spec.value.isNotNull(), order).alias(f"_o_{name}"))
     return df.select(*cols)
 
 
@@ -81,7 +85,9 @@ def pit_lookup(
     aggs = [F.max("_q").alias("_q")]
     for name, spec in specs.items():
         v = F.col(f"_v_{name}")
-        if isinstance(spec, Latest):
+        if isinstance(spec, Latest) and not spec.order:
+            aggs.append(F.max(v).alias(f"_v_{name}"))
+        elif isinstance(spec, Latest):
             pick = F.min_by if spec.first else F.max_by
             aggs.append(pick(v, F.col(f"_o_{name}")).alias(f"_v_{name}"))
         else:

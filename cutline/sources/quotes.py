@@ -24,7 +24,9 @@ def parse_odds(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = rename_aliases(raw, {})
     content = [c for c in df.columns if c in ODDS_COLUMNS]
     own_hash = stable_hash(content)
-    df = ensure_columns(df.withColumn("_hash", own_hash), ODDS_COLUMNS)
+    if "raw_payload_hash" in df.columns:
+        own_hash = F.when(is_blank("raw_payload_hash"), own_hash).otherwise(F.col("raw_payload_hash"))
+    df = ensure_columns(df.withColumn("raw_payload_hash", own_hash), ODDS_COLUMNS)
     text = lambda c, v: trim_all(F.coalesce(F.col(c), F.lit(v)))
     at = to_utc("captured_at")
     df = df.withColumns({"_at": at, "_odds": trim_all("decimal_odds").try_cast("double")})
@@ -51,11 +53,11 @@ def parse_odds(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         to_utc("published_at").alias("published_at"),
         F.coalesce(to_utc("ingested_at"), "_at").alias("ingested_at"),
         F.coalesce(to_utc("effective_at"), "_at").alias("effective_at"),
-        F.when(is_blank("raw_payload_hash"), F.col("_hash")).otherwise(F.col("raw_payload_hash")).alias("raw_payload_hash"),
+        "raw_payload_hash",
         "source_version",
         *(["ordinal"] if "ordinal" in marked.columns else []),
     )
-    return good, marked.filter(F.col("reason").isNotNull()).drop("_at", "_odds", "_hash")
+    return good, marked.filter(F.col("reason").isNotNull()).drop("_at", "_odds")
 
 
 def read_odds_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

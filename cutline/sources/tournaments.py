@@ -29,18 +29,18 @@ def parse_documents(docs: DataFrame, doc: str = "value", name: str | None = None
 
     ``name`` overrides the document's own tournament name with a column of ``docs``.
     """
-    parsed = docs.select("*", F.from_json(F.col(doc), DOCUMENT_SCHEMA).alias("d"))
     own = F.nullif(trim_all("d.name"), F.lit(""))
-    parsed = parsed.withColumn("tournament", F.coalesce(F.col(name), own) if name else own)
-    nested = parsed.select("tournament", F.explode("d.rounds").alias("r")).select(
-        "tournament",
-        F.coalesce(F.nullif("r.name", F.lit("")), F.lit("unknown")).alias("round_name"),
-        F.explode("r.matches").alias("m"),
-    )
-    flat = parsed.select("tournament", F.explode("d.matches").alias("m")).select(
-        "tournament", F.coalesce(F.nullif("m.round", F.lit("")), F.lit("unknown")).alias("round_name"), "m"
-    )
-    return nested.unionByName(flat)
+    known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
+    entry = lambda name, m: F.struct(known(name).alias("round_name"), m.alias("m"))
+    empty = F.array().cast(f"array<struct<round_name:string,m:{_MATCH}>>")
+    nested = F.flatten(F.transform("d.rounds", lambda r: F.coalesce(
+        F.transform(r["matches"], lambda m: entry(r["name"], m)), empty)))
+    flat = F.transform("d.matches", lambda m: entry(m["round"], m))
+    parsed = docs.select("*", F.from_json(F.col(doc), DOCUMENT_SCHEMA).alias("d"))
+    # both layouts in one array, so that a document is parsed once
+    both = F.concat(F.coalesce(nested, empty), F.coalesce(flat, empty))
+    rows = parsed.select((F.coalesce(F.col(name), own) if name else own).alias("tournament"), F.explode(both).alias("e"))
+    return rows.select("tournament", "e.*").filter(F.col("m").isNotNull())
 
 
 def team_name(c: str) -> Column:
