@@ -5,12 +5,14 @@ Fits run on distributed frames; the driver holds only coefficients and per-colum
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,18 +128,20 @@ def fit_scaling(train: DataFrame, columns: list[str]) -> Scaling:
 
     Columns without any value are dropped by name, so names and coefficients stay aligned.
     """
-    medians = exact_medians(train, columns)
+    medians: dict[str, float | None] = {c: 0.0 for c in columns if c.endswith("_isna")}
+    medians |= exact_medians(train, [c for c in columns if c not in medians])
     kept = [c for c in columns if medians[c] is not None]
-    filled = [F.coalesce(number(c), F.lit(medians[c])) for c in kept]
-    stats = train.agg(
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)],
-        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)],
-    ).first()
+    filled = train.select(*[F.coalesce(number(c), F.lit(medians[c])).alias(f"_z_{i}") for i, c in enumerate(kept)])
+    vectors = VectorAssembler(inputCols=filled.columns, outputCol="v").transform(filled)
+    stats = vectors.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
+    n = int(stats["count"])
+    spread = [math.sqrt(float(x) * (n - 1) / n) for x in stats["variance"]]
     return Scaling(
         kept,
         {c: float(medians[c]) for c in kept},
-        {c: float(stats[f"m{i}"]) for i, c in enumerate(kept)},
-        {c: float(stats[f"s{i}"]) or 1.0 for i, c in enumerate(kept)},
+        {c: float(stats["mean"][i]) for i, c in enumerate(kept)},
+        # a constant column keeps scale 1, also when rounding leaves a trace of variance
+        {c: spread[i] if spread[i] > 1e-12 * max(1.0, abs(stats["mean"][i])) else 1.0 for i, c in enumerate(kept)},
     )
 
 
@@ -155,7 +159,7 @@ def _fit_logistic(df: DataFrame, label: str, C: float, max_iter: int, n: int, we
     """L2 logistic with an unpenalised intercept: sum loss + |w|^2/(2C), as mean loss."""
     lr = LogisticRegression(
         featuresCol="features", labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-9, probabilityCol="_prob",
+        standardization=False, maxIter=max_iter, tol=1e-8, probabilityCol="_prob",
         rawPredictionCol="_raw", predictionCol="_pred",
     )
     return (lr.setWeightCol(weight) if weight else lr).fit(df)
