@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cutline.llm.bytenet import quality_scores
 from cutline.llm.common import table
+from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
 
 
+def op2_bytenet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bytenet": op2_bytenet,
     "op3_simhash": op3_simhash,
+    "op7_secrets": op7_secrets,
 }
 ORACLES: dict[str, str] = {}
