@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cutline.llm.bytenet import quality_scores
 from cutline.llm.common import table
+from cutline.llm.mixing import mixture
+from cutline.llm.packing import packed
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
 
@@ -20,13 +22,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bytenet": op2_bytenet,
     "op3_simhash": op3_simhash,
+    "op5_packing": op5_packing,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
 }
 ORACLES: dict[str, str] = {}
