@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cutline.llm.bytenet import quality_scores
 from cutline.llm.common import table
+from cutline.llm.forest import nearest
 from cutline.llm.mixing import mixture
 from cutline.llm.packing import packed
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bytenet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +40,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_forest": op1_forest,
     "op2_bytenet": op2_bytenet,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
