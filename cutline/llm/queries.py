@@ -13,6 +13,7 @@ from cutline.llm.mixing import mixture
 from cutline.llm.packing import packed
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
+from cutline.llm.warc import archived
 
 
 def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_forest": op1_forest,
     "op2_bytenet": op2_bytenet,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
