@@ -14,6 +14,7 @@ from cutline.llm.packing import packed
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
 from cutline.llm.warc import archived
+from cutline.llm.wrappers import extract
 
 
 def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_forest": op1_forest,
     "op2_bytenet": op2_bytenet,
@@ -52,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op10_wrappers": op10_wrappers,
 }
 ORACLES: dict[str, str] = {}
