@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cutline.llm.bm25 import top_documents
 from cutline.llm.bytenet import quality_scores
 from cutline.llm.common import table
 from cutline.llm.forest import nearest
@@ -13,6 +14,7 @@ from cutline.llm.mixing import mixture
 from cutline.llm.packing import packed
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
+from cutline.llm.tokenpack import packed_segments
 from cutline.llm.warc import archived
 from cutline.llm.wrappers import extract
 
@@ -37,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op6_tokenpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_segments(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -55,8 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op6_tokenpack": op6_tokenpack,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_bm25": op9_bm25,
     "op10_wrappers": op10_wrappers,
 }
 ORACLES: dict[str, str] = {}
