@@ -30,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have yet."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import stored
+from cutline.llm.common import fresh, stored
 
 # Fixed patterns: name, pattern, group whose length counts, least length.
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -218,19 +218,18 @@ def masked(docs: DataFrame) -> DataFrame:
     rows without spans are as they were. All rows and columns stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = cuts(docs.select(_candidates(text).alias("tested")))
-    base = _base(text)
-    cols = [c for c in docs.columns if c not in ("text", "n_chars")]
-    held = docs.withColumn("__base", base).withColumn("__tested", _candidates(text))
-    held = held.withColumn("__spans", F.array_sort(F.concat("__base", _added(F.col("__tested"), F.col("__base"), cut))))
+    base, tested, spans = (fresh(docs, c) for c in ("_base", "_tested", "_spans"))
+    held = docs.withColumn(base, _base(text)).withColumn(tested, _candidates(text))
+    held = held.withColumn(spans, F.array_sort(F.concat(base, _added(F.col(tested), F.col(base), cut))))
     fold = F.aggregate(
-        "__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    hit = F.size("__spans") > 0
+    hit = F.size(spans) > 0
     new = F.when(hit, fold).otherwise(F.col("text"))
     out = held.withColumn("text", new)
     if "n_chars" in docs.columns:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cutline.llm.common import stored
+from cutline.llm.common import fresh, stored
 from cutline.llm.graph import components
 
 BITS = 64
@@ -205,11 +205,12 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, dense: int = DENSE) -> DataFr
     """The documents with one row of each group kept: that with the group's smallest doc_id (of rows that repeat
     this id, the smallest by its columns). Rows with a null doc_id cannot be told apart from one another and stay."""
     groups = simhash_groups(docs, size, dense)
-    kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    cols = docs.columns
+    n, cols = fresh(docs, "_rows"), docs.columns
+    kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n)), "kept")
     rows = docs.join(kept, "doc_id")
-    out = rows.where("_rows = 1").select(*cols).unionByName(docs.where("doc_id is null"))
-    if kept.where("_rows > 1").isEmpty():
+    out = rows.where(F.col(n) == 1).select(*cols).unionByName(docs.where("doc_id is null"))
+    if kept.where(F.col(n) > 1).isEmpty():
         return out
-    again = rows.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias("_row"))
-    return out.unionByName(again.select("doc_id", "_row.*").select(*cols))
+    row = fresh(docs, "_row")
+    again = rows.where(F.col(n) > 1).groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias(row))
+    return out.unionByName(again.select("doc_id", f"{row}.*").select(*cols))
