@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutline.llm.common import bounded_batches
+
 EMBED, STEP, FILTERS = 8, 4, 32
 HALF = 256  # bytes of half a chunk
 ROWS = HALF // STEP
 #: Bytes looked at together; a longer text goes through in several rounds.
-ROUND = 1 << 19
+ROUND = 1 << 18
 #: Fitting: labelled texts per class, and half chunks of one text, spread over the whole of it.
 SAMPLE, SPREAD = 1500, 32
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 0.01, 1e-4
@@ -276,6 +278,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     scores. Without usable labels every score is 0.5; with one class, its smoothed share. Other columns are ignored.
     Scoring is a map over the documents: no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     net = train(docs, labels, sample=sample)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score(net, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
@@ -283,5 +286,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
+    bounded_batches(docs.sparkSession)
     net = train(docs, labels, sample=sample)
     return docs.where(score(net, F.col("text")) >= ACCEPT)

@@ -13,6 +13,18 @@ from cutline.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of texts that Spark hands to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by size rather than by rows alone: ten thousand long texts would not fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder of the cluster."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -21,6 +33,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: work that several jobs use is done once, and a lost
     executor repeats tasks of one job only."""
+    bounded_batches(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -207,7 +207,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, dense: int = DENSE) -> DataFr
     groups = simhash_groups(docs, size, dense)
     n, cols = fresh(docs, "_rows"), docs.columns
     kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n)), "kept")
-    rows = docs.join(kept, "doc_id")
+    # One plan at every size: ids and texts are sorted by id and merged.
+    rows = docs.join(kept.hint("merge"), "doc_id")
     out = rows.where(F.col(n) == 1).select(*cols).unionByName(docs.where("doc_id is null"))
     if kept.where(F.col(n) > 1).isEmpty():
         return out
