@@ -66,18 +66,16 @@ hist AS (
 hist_at AS (SELECT team_id, kickoff_at, {tie}(rating, match_id) AS rating FROM hist GROUP BY ALL)"""
 
 
-def history(v, config=FLAT, importance=False, max_rows=None):
+def history(v, config=FLAT, importance=False, max_rows=E.MAX_ROWS_PER_TASK):
     m = v.duels
     if importance:
         m = m.join(v.competitions, "competition_id", "left")
-    return E.elo_ratings(
-        m, config, pool="competition_id", importance="importance_weight" if importance else None,
-        max_rows_per_task=max_rows,
-    )
+    return E.elo_ratings(m, config, importance="importance_weight" if importance else None, max_rows_per_task=max_rows)
+
 
 
 HISTORY_SELECT = """
-SELECT pool, CAST(match_id AS VARCHAR) AS match_key, team_id, kickoff_at, round(rating_before, 6) AS rating_before,
+SELECT min(team_id) OVER (PARTITION BY pool) AS pool, CAST(match_id AS VARCHAR) AS match_key, team_id, kickoff_at, round(rating_before, 6) AS rating_before,
   round(rating, 6) AS rating FROM hist"""
 
 
@@ -100,8 +98,9 @@ def elo_ratings_in_time_slices(v):
 @query(
     "rating_history",
     elo_sql() + """
-SELECT pool, team_id, count(*) AS matches, round(max(rating), 6) AS best, round(arg_max(rating, (kickoff_at, match_id)), 6) AS latest
-FROM hist GROUP BY ALL""",
+SELECT min(team_id) OVER (PARTITION BY pool) AS pool, team_id, matches, best, latest FROM (
+  SELECT pool, team_id, count(*) AS matches, round(max(rating), 6) AS best, round(arg_max(rating, (kickoff_at, match_id)), 6) AS latest
+  FROM hist GROUP BY ALL)""",
     ("duels",),
 )
 def rating_history(v):
@@ -114,7 +113,7 @@ def rating_history(v):
 @query(
     "elo_zero_sum",
     elo_sql() + """
-SELECT pool, count(*) AS updates, round(sum(rating - rating_before), 6) + 0.0 AS drift FROM hist GROUP BY ALL""",
+SELECT min(team_id) AS pool, count(*) AS updates, round(sum(rating - rating_before), 6) + 0.0 AS drift FROM hist GROUP BY hist.pool""",
     ("duels",),
 )
 def elo_zero_sum(v):
@@ -170,13 +169,13 @@ def elo_probability(v):
 @query(
     "elo_training_slice",
     elo_sql() + """
-SELECT pool, count(*) AS updates, round(sum(rating), 4) AS total FROM hist WHERE kickoff_at < TIMESTAMP '1998-01-01' GROUP BY ALL""",
+SELECT min(team_id) AS pool, count(*) AS updates, round(sum(rating), 4) AS total FROM hist WHERE kickoff_at < TIMESTAMP '1998-01-01' GROUP BY hist.pool""",
     ("duels",),
 )
 def elo_training_slice(v):
     """Ratings known at a training start: later matches never change earlier ratings."""
     before = v.duels.filter(F.col("kickoff_at") < F.to_timestamp(F.lit("1998-01-01")))
-    h = E.elo_ratings(before, FLAT, pool="competition_id")
+    h = E.elo_ratings(before, FLAT)
     return h.groupBy("pool").agg(F.count(F.lit(1)).alias("updates"), F.round(F.sum("rating"), 4).alias("total"))
 
 

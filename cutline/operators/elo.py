@@ -1,8 +1,9 @@
 """Sequential ratings.
 
-Each update reads the two ratings left by earlier matches, so a pool of teams that meet one
-another is one ordered scan by definition. Pools (leagues, sports, tenants) run in parallel.
-The scan streams Arrow batches and keeps one small entry per team; a long history is cut into
+Each update reads the two ratings left by earlier matches. Teams that never meet, not even through
+others, cannot influence each other: the pools that are scanned in parallel are the connected parts of
+the table of meetings, found from the data, so the result is that of one scan over everything. Within a
+pool the scan streams Arrow batches and keeps one small entry per team; a long history is cut into
 consecutive time slices, each a job of its own whose input is bounded and whose end state is a
 written table, so a lost executor repeats one slice of one pool only.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import probability as P
 from cutline.functions.timeutil import days_between
+from cutline.operators.components import components
 from cutline.operators.pit import SLICE_DAYS, Latest, pit_lookup
 from cutline.session import checkpoint_dir
 
@@ -100,8 +102,7 @@ def _scan(cfg: dict):
 
 
 def elo_input(
-    matches: DataFrame, config: EloConfig, pool: str | None, importance: str | None = None,
-    match_id: str = "match_id",
+    matches: DataFrame, config: EloConfig, importance: str | None = None, match_id: str = "match_id",
 ) -> DataFrame:
     """Reduce matches to what the scan needs, all arithmetic that is not sequential done here.
 
@@ -119,7 +120,6 @@ def elo_input(
     weight = F.coalesce(F.col(importance), F.lit(1.0)) if importance else F.lit(1.0)
     neutral = F.coalesce(F.col("neutral_venue"), F.lit(False))
     return matches.select(
-        (F.col(pool).cast("string") if pool else F.lit("")).alias("pool"),
         F.col(match_id).alias("_order"),
         F.col(match_id).cast("string").alias("match_key"),
         F.unix_micros("kickoff_at").alias("us"),
@@ -133,6 +133,14 @@ def elo_input(
     ).filter(F.col("score").isNotNull())
 
 
+def with_pools(rows: DataFrame) -> DataFrame:
+    """Adds the pool of each match: the smallest team reachable over meetings. Both sides share it by definition."""
+    found = components(rows.select(F.col("home").alias("a"), F.col("away").alias("b")))
+    return rows.join(found.select(F.col("node").alias("home"), F.col("component").alias("pool")), "home", "left").withColumn(
+        "pool", F.coalesce("pool", "home")
+    )
+
+
 def _one_pass(rows: DataFrame, config: EloConfig) -> DataFrame:
     # state rows (seed set) sort before the matches of their pool
     return (
@@ -169,34 +177,31 @@ def elo_ratings(
     matches: DataFrame,
     config: EloConfig | None = None,
     *,
-    pool: str | None = None,
     importance: str | None = None,
     match_id: str = "match_id",
-    max_rows_per_task: int | None = None,
+    max_rows_per_task: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Rating history: two rows per match, before and after.
 
     ``max_rows_per_task`` bounds the input of every task: longer histories run as consecutive
-    time slices with the end state written in between. ``None`` scans in one pass.
+    time slices with the end state written in between. The prepared rows are written once, a folder
+    per slice, so that every slice reads its own rows only.
     """
     cfg = config or EloConfig()
-    rows = elo_input(matches, cfg, pool, importance, match_id)
-    if not max_rows_per_task:
-        return _one_pass(rows, cfg)
-    bounds = time_slices(rows, max_rows_per_task)
-    if not bounds:
-        return _one_pass(rows, cfg)
     spark = matches.sparkSession
     base = f"{checkpoint_dir(spark)}/elo-{uuid.uuid4().hex}"
+    prepared = with_pools(elo_input(matches, cfg, importance, match_id))
+    bounds = time_slices(prepared, max_rows_per_task)
+    if not bounds:
+        return _one_pass(prepared, cfg)
+    number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("us")))
+    prepared.withColumn("slice", number).repartition("slice", "pool").write.partitionBy("slice").parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
     edges = [None, *bounds, None]
     state = None
     for i in range(len(edges) - 1):
-        lo, hi = edges[i], edges[i + 1]
-        part = rows
-        if lo is not None:
-            part = part.filter(F.col("us") >= lo)
-        if hi is not None:
-            part = part.filter(F.col("us") < hi)
+        hi = edges[i + 1]
+        part = rows.filter(F.col("slice") == i).drop("slice")
         if state is not None:
             part = part.unionByName(
                 state.select("pool", F.col("team_id").alias("home"), "us", "seed"),
@@ -298,5 +303,5 @@ def rating_steps(history: DataFrame) -> DataFrame:
 
 __all__ = [
     "EloConfig", "MAX_ROWS_PER_TASK", "elo_input", "elo_probability", "elo_ratings", "rating_asof",
-    "rating_column", "rating_specs", "rating_steps", "time_slices",
+    "rating_column", "rating_specs", "rating_steps", "time_slices", "with_pools",
 ]

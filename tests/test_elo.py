@@ -71,37 +71,55 @@ def test_idle_decay_towards_zero_or_a_target(table):
 
 @pytest.fixture(scope="module")
 def season(spark):
-    df = synthetic_matches(spark.range(400), n_teams=12).withColumn("pool", F.when(F.col("home_team_id") < "team_006", "x").otherwise("y"))
+    df = synthetic_matches(spark.range(400), n_teams=12)
     own = df.filter((F.col("home_team_id") < "team_006") == (F.col("away_team_id") < "team_006"))
     return materialize(own, "season")
 
 
 @pytest.mark.parametrize("cfg", [E.EloConfig(), E.EloConfig(time_decay_per_day=0.002, mov_multiplier=1, equal_time="last")])
 def test_time_slices_equal_one_pass(season, cfg):
-    one = ratings(season, cfg, pool="pool")
-    many = ratings(season, cfg, pool="pool", max_rows_per_task=15)
+    one = ratings(season, cfg)
+    many = ratings(season, cfg, max_rows_per_task=15)
     assert one.keys() == many.keys() and len(one) == 2 * season.count()
     assert all(many[k] == pytest.approx(one[k], abs=1e-9) for k in one)
 
 
 def test_rating_mass_is_conserved(season):
-    h = E.rating_steps(E.elo_ratings(season, pool="pool"))
+    h = E.rating_steps(E.elo_ratings(season))
     worst = h.groupBy("match_key").agg(F.abs(F.sum("delta")).alias("d")).agg(F.max("d")).first()[0]
     assert worst < 1e-9
 
 
 def test_future_rows_do_not_change_past_ratings(season):
     cut = F.to_timestamp(F.lit("2013-01-01"))
-    early = ratings(season.filter(F.col("kickoff_at") < cut), pool="pool")
-    full = ratings(season, pool="pool")
+    early = ratings(season.filter(F.col("kickoff_at") < cut))
+    full = ratings(season)
     assert early and all(full[k] == v for k, v in early.items())
 
 
 def test_probabilities_are_complementary_on_neutral_ground(season):
-    h = E.elo_ratings(season, pool="pool")
+    h = E.elo_ratings(season)
     m = season.withColumn("cutoff_time", F.col("kickoff_at"))
     swapped = m.withColumnsRenamed({"home_team_id": "_h"}).withColumnsRenamed({"away_team_id": "home_team_id"}).withColumnsRenamed({"_h": "away_team_id"})
     p = "elo_home_advance_probability"
     a = {r["match_id"]: r[p] for r in E.elo_probability(m, h).collect()}
     b = {r["match_id"]: r[p] for r in E.elo_probability(swapped, h).collect()}
     assert all(abs(a[k] + b[k] - 1) < 1e-12 for k in a)
+
+
+def test_pools_are_found_from_the_meetings(table):
+    rows = [(1, DAY[0], "a", "b", 1, 0, True, None), (2, DAY[1], "a", "c", 1, 0, True, None), (3, DAY[2], "x", "y", 1, 0, True, None), (4, DAY[3], "b", "c", 0, 1, True, None)]
+    got = {(r["match_key"], r["team_id"]): r["pool"] for r in E.elo_ratings(table(rows, SCHEMA)).collect()}
+    assert {p for (_, t), p in got.items() if t in "abc"} == {"a"} and {p for (_, t), p in got.items() if t in "xy"} == {"x"}
+
+
+def test_a_team_in_two_competitions_has_one_rating(table):
+    rows = [(1, DAY[0], "a", "b", 1, 0, True, None), (2, DAY[1], "a", "c", 1, 0, True, None), (3, DAY[2], "a", "z", 0, 1, True, None)]
+    competition = ["x", "x", "y"]
+    df = table([(*r, c) for r, c in zip(rows, competition, strict=True)], SCHEMA + ", competition_id string")
+    cut = table([("a", DAY[5])], "team_id string, cutoff_time timestamp")
+    got = E.rating_asof(E.elo_ratings(df), cut).first()["rating"]
+    r = 1510.0
+    r += 20 * (1 - 1 / (1 + 10 ** ((1500 - r) / 400)))
+    r += 20 * (0 - 1 / (1 + 10 ** ((1500 - r) / 400)))
+    assert got == pytest.approx(r)
