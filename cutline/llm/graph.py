@@ -1,55 +1,5 @@
-"""Connected components of an edge table, without gathering a component in one place."""
+"""Connected components, as the library finds them."""
 
-from __future__ import annotations
+from cutline.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cutline.llm.common import stored
-
-#: Alternating stars converge in a few rounds (logarithmic in the longest path); more means a bug.
-MAX_ROUNDS = 60
-
-
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; ``edges`` holds (a, b) with a < b, each once."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = (
-        both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-    )
-    down = large.groupBy("b").agg(F.min("a").alias("m"))
-    moved = large.join(down, "b")
-    return (
-        moved.select(F.col("m").alias("a"), "b")
-        .unionByName(moved.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-        .distinct()
-    )
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges ``(a, b)``; the component is its smallest node.
-
-    Large-star / small-star rounds: each is two map-side combined minima and two joins over the edge table,
-    written to the shared folder, so neither a component nor its edges meet in one task or on the driver;
-    the driver sees a count and a checksum per round. Empty edges give no rows; loops and repeats are fine.
-    """
-    edges = stored(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    seen = _mark(edges)
-    if not seen[0]:
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    for _ in range(MAX_ROUNDS):
-        edges = stored(_stars(edges), "edges")
-        now = _mark(edges)
-        if now == seen:
-            roots = edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"))
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
-        seen = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+__all__ = ["components"]
