@@ -227,9 +227,14 @@ def feature_snapshots(v):
     """Stored snapshots are returned as they are, missing ones are built and hashed."""
     from cutline.operators.ingest import build_or_get, make_snapshots
 
+    ratings = rating_table(v)
+
     def build(spine):
         wanted = v.spine.join(spine, ["match_id", "cutoff_time"], "left_semi")
-        return O.feature_table(wanted, results=v.results, ratings=rating_table(v), competitions=v.competitions, config=CONFIG)
+        return O.feature_table(
+            wanted, results=v.results, ratings=ratings, quotes=v.quotes, availability=v.availability, competitions=v.competitions,
+            events=v.shots, event_meta=v.shot_meta, config=CONFIG, quote_order=["quote_seq"],
+        )
 
     stored = make_snapshots(
         build(v.spine.filter(F.col("stage") == "Final").select("match_id", "cutoff_time")), "v1", O.FEATURES

@@ -35,6 +35,24 @@ def decayed_form(v):
         F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"), "cutoff_time"))
 
 
+@query(
+    "decayed_form_short",
+    f"""SELECT c.team_id, c.cutoff_time,
+      round(coalesce(sum(exp(-ln(2) * {AGE} / 3) * CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END)
+        / sum(exp(-ln(2) * {AGE} / 3)), 0), 6) AS weighted_points,
+      round(coalesce(sum(exp(-ln(2) * {AGE} / 3) * (goals_for - goals_against)) / sum(exp(-ln(2) * {AGE} / 3)), 0), 6) + 0.0 AS weighted_goal_difference,
+      coalesce(CAST(floor(min({AGE})) AS INTEGER), 7) AS rest_days, max(t.kickoff_at) AS last_match_at
+    FROM team_cutoffs c LEFT JOIN team_rows t ON t.team_id = c.team_id AND t.kickoff_at < c.cutoff_time
+      AND goals_for IS NOT NULL AND goals_against IS NOT NULL
+    GROUP BY ALL""",
+    ("team_cutoffs", "team_rows"),
+)
+def decayed_form_short(v):
+    """A half life of three days: the history spans hundreds of half lives."""
+    return O.decayed_form(O.team_rows(v.results), v.spine.select(
+        F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"), "cutoff_time"), half_life_days=3.0)
+
+
 @query(
     "team_rows",
     "SELECT match_id, kickoff_at, team_id, opponent_id, goals_for, goals_against, advances, is_home FROM team_rows",

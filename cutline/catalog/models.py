@@ -93,8 +93,7 @@ def logistic_importance(v):
 @query("boosted_predictions")
 def boosted_predictions(v):
     rows = v1_parts(v)
-    cfg = M.BoostConfig(iterations=8, depth=4)
-    model = M.fit_boosted(rows.filter("part = 'train'"), rows.filter("part = 'validation'"), V1_FEATURES, config=cfg)
+    model = M.fit_boosted(rows.filter("part = 'train'"), rows.filter("part = 'validation'"), V1_FEATURES)
     return model.predict(rows.filter("part = 'test'")).select("match_id", "home_advances", "base_probability")
 
 
@@ -153,11 +152,12 @@ def train_run_record(v):
 
 @query("predict_ledger_rows")
 def predict_ledger_rows(v):
-    """Every match scored by the trained components, explained and ready to append."""
+    """Every match of the spine scored by the trained components, explained and ready to append."""
     from cutline.plans.prediction import predict
 
-    rows = labelled_features(v)
-    return predict(_window(rows, *WINDOWS["test"]), "v0.1.0", trained(v, rows))
+    rows = materialize(features(v), "features")
+    labels = v.results.select("match_id", F.col("home_advances").cast("int").alias("home_advances"))
+    return predict(rows, "v0.1.0", trained(v, rows.join(labels, "match_id")))
 
 
 @query("component_probabilities")
@@ -169,9 +169,11 @@ def component_probabilities(v):
 @query("walk_forward_report")
 def walk_forward_report(v):
     from cutline.catalog.metrics import walk_folds
+    from cutline.operators.folds import fold_violations
     from cutline.plans.backtest import backtest_report, walk_forward
 
-    folds = walk_folds(v).filter(F.year("train_end").isin(1999, 2001))
+    folds = walk_folds(v)
+    folds = folds.join(fold_violations(folds).select("fold").distinct(), "fold", "left_anti")
     rows = features(v).join(
         v.results.select("match_id", F.col("home_advances").cast("int").alias("home_advances")), "match_id"
     )

@@ -45,9 +45,18 @@ def canonical_key_documents(v):
     return v.table("documents").select("doc_id", F.md5(key).alias("digest"), F.length(key).cast("bigint").alias("n"))
 
 
-@query("builtin_aliases", f"WITH {ALIASES}, s AS (SELECT count(*) AS n FROM raw_names) SELECT alias_key, team_id, alias, 'builtin_default' AS source FROM reg, s", ("raw_names",))
+@query(
+    "builtin_aliases",
+    f"""WITH {ALIASES}, k AS (SELECT {KEY} AS alias_key, count(*) AS n FROM raw_names GROUP BY 1)
+    SELECT alias_key, team_id, alias, 'builtin_default' AS source, coalesce(n, 0) AS names FROM reg LEFT JOIN k USING (alias_key)""",
+    ("raw_names",),
+)
 def builtin_aliases(v):
-    return A.builtin_registry(v.spark)
+    """The fixed aliases, with the names of the table that each one covers."""
+    names = v.raw_names.groupBy(N.canonical_key("raw_name").alias("alias_key")).agg(F.count(F.lit(1)).alias("n"))
+    return A.builtin_registry(v.spark).join(names, "alias_key", "left").select(
+        "alias_key", "team_id", "alias", "source", F.coalesce("n", F.lit(0)).alias("names")
+    )
 
 
 @query(

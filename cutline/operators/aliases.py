@@ -188,7 +188,7 @@ def classify_aliases(observed: DataFrame, name: str, registry: DataFrame, builti
         observed.filter(~is_blank(name))
         .withColumn("_k", canonical_key(name))
         .join(r, "_k", "left")
-        .join(F.broadcast(b), "_k", "left")
+        .join(b, "_k", "left")
     )
     hit = F.col("_builtin").isNotNull()
     default = (hit & F.col("_builtin")) | (~hit & F.col("_default").isNotNull())

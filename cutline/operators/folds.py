@@ -33,11 +33,16 @@ def validate_folds(folds: DataFrame) -> DataFrame:
     return folds
 
 
+MAX_FOLDS = 10_000
+
+
 def fold_membership(matches: DataFrame, folds: DataFrame, ts: str = "kickoff_at") -> DataFrame:
     """(match, fold, part) with both window ends inclusive.
 
-    Folds are configuration: a handful of rows, so the range join broadcasts them.
+    Folds are configuration: a handful of rows, so the range join broadcasts them, after a check that they are few.
     """
+    if folds.limit(MAX_FOLDS + 1).count() > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds: these are not a configuration")
     windows = folds.select(
         "fold",
         F.explode(F.array(*[

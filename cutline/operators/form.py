@@ -14,7 +14,8 @@ FORM_HALF_LIFE = 180.0
 V1_HALF_LIFE = 365.0
 # weights are 2^((t - anchor)/half_life); the anchor cancels in every mean
 ANCHOR_DAY = 10957.0  # 2000-01-01
-MIN_HALF_LIFE = 30.0  # keeps the exponent within double range for 80 years around the anchor
+ONE_ANCHOR = 30.0  # from this half life on, one anchor keeps every exponent within double range for 80 years
+ERA = 100  # half lives; a shorter half life has an anchor per era
 
 
 def team_rows(results: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -49,8 +50,8 @@ def form_specs(half_life_days: float) -> dict[str, Latest | Total]:
 
     With w = 2^((t - c)/hl) the factor 2^(-c/hl) cancels in sum(w*x)/sum(w).
     """
-    if 0 < half_life_days < MIN_HALF_LIFE:
-        raise ValueError(f"half life must be at least {MIN_HALF_LIFE} days, or <= 0 for no decay")
+    if 0 < half_life_days < ONE_ANCHOR:
+        raise ValueError("a half life this short needs an anchor per era: see decayed_form")
     scored = is_scored()
     weight = (
         F.lit(1.0)
@@ -95,6 +96,8 @@ def decayed_form(
     slice_days: float | None = SLICE_DAYS,
 ) -> DataFrame:
     """Decayed points, goal difference and rest days per (team, cut-off), strictly before it."""
+    if 0 < half_life_days < ONE_ANCHOR:
+        return _form_by_era(history, cutoffs, half_life_days, at, slice_days)
     looked = pit_lookup(
         [(history, "kickoff_at", form_specs(half_life_days))],
         cutoffs,
@@ -105,6 +108,37 @@ def decayed_form(
     return looked.withColumns(form_columns(at)).drop("_w", "_wp", "_wg")
 
 
+def _form_by_era(history: DataFrame, cutoffs: DataFrame, half_life_days: float, at: str, slice_days: float | None) -> DataFrame:
+    """The same sums for any half life: weights count from the start of an era of 100 half lives. What came before a
+    cut-off's era is one carried row per team, that of the latest era with a match and the one before it; older matches weigh less
+    than 2^-100 of these, below the precision of a double."""
+    days = ERA * half_life_days
+    era = lambda ts: F.floor(epoch_days(ts) / days)
+    border = lambda e: F.timestamp_micros((e * (days * 86_400_000_000.0)).cast("long"))
+    rows = history.where(is_scored()).withColumn("_era", era("kickoff_at"))
+    w = F.pow(F.lit(2.0), (epoch_days("kickoff_at") - F.col("_era") * days) / half_life_days)
+    parts = {"_w": w, "_wp": w * result_points(), "_wg": w * (F.col("goals_for") - F.col("goals_against"))}
+    asked = cutoffs.select("team_id", at).distinct().withColumn("_era", era(at))
+    specs = {**{k: Total(x) for k, x in parts.items()}, "last_match_at": Latest(F.col("kickoff_at"))}
+    own = pit_lookup([(rows, "kickoff_at", specs)], asked, keys=["team_id", "_era"], at=at, slice_days=slice_days)
+    total = rows.groupBy("team_id", "_era").agg(*[F.sum(x).alias(k) for k, x in parts.items()], F.max("kickoff_at").alias("last"))
+    older = total.select("team_id", (F.col("_era") + 1).alias("_era"), *[F.col(k).alias(f"{k}0") for k in parts])
+    carried = total.join(older, ["team_id", "_era"], "left").select(
+        "team_id", border(F.col("_era") + 1).alias("_end"),
+        F.struct("_era", *[(F.col(k) + F.coalesce(F.col(f"{k}0"), F.lit(0.0)) * 2.0**-ERA).alias(k) for k in parts], "last").alias("_c"),
+    )
+    starts = own.select("team_id", border(F.col("_era")).alias("_start"))
+    before = pit_lookup([(carried, "_end", {"_before": Latest(F.col("_c"), inclusive=True)})], starts, keys=["team_id"], at="_start", slice_days=slice_days)
+    both = own.withColumn("_start", border(F.col("_era"))).join(before, ["team_id", "_start"], "left")
+    c, factor = F.col("_before"), F.pow(F.lit(2.0), (F.col("_before")["_era"] - F.col("_era")) * float(ERA))
+    none = F.col("_w").isNull()
+    summed = both.select(
+        "team_id", at, *[F.when(none, c[k]).otherwise(F.col(k) + F.coalesce(c[k] * factor, F.lit(0.0))).alias(k) for k in parts],
+        F.coalesce("last_match_at", c["last"]).alias("last_match_at"),
+    )
+    return summed.withColumns(form_columns(at)).drop(*parts)
+
+
 def is_scored() -> Column:
     return F.col("goals_for").isNotNull() & F.col("goals_against").isNotNull()
 

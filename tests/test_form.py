@@ -37,9 +37,14 @@ def test_form_is_strict_and_defaults_apply(history, table):
     assert all((x["weighted_points"], x["weighted_goal_difference"], x["rest_days"]) == (0.0, 0.0, 7) for x in r.values())
 
 
-def test_short_half_life_is_refused(history, table):
-    with pytest.raises(ValueError, match="half life"):
-        M.decayed_form(history, cut(table, ("a", "2020-02-11")), half_life_days=3)
+@pytest.mark.parametrize("half_life", [0.02, 0.5, 3, 29])
+def test_any_half_life(history, table, half_life):
+    r = M.decayed_form(history, cut(table, ("a", "2020-02-11"), ("a", "2030-01-01"), ("b", "2020-01-01")), half_life_days=half_life).collect()
+    r = {(x["team_id"], x["cutoff_time"].year): x for x in r}
+    w1 = 0.5 ** (31 / half_life)  # the older of two matches, 31 days before the newer
+    assert r["a", 2020]["weighted_points"] == pytest.approx((3 * w1 + 1) / (w1 + 1))
+    assert r["a", 2020]["weighted_goal_difference"] == pytest.approx(2 * w1 / (w1 + 1))
+    assert r["a", 2020]["rest_days"] == 10 and r["b", 2020]["rest_days"] == 7 and r["a", 2030]["rest_days"] > 3000
 
 
 def test_last_n_returns_exactly_the_newest(history, table):
