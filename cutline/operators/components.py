@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.session import checkpoint_dir
@@ -27,13 +27,14 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The edges as a stored table, with a count and a checksum taken while they are written."""
-    spark, mark = edges.sparkSession, Observation()
+    """The edges as a stored table, with a count and a checksum of them. (An observed write would save a job, but leaves the
+    session in a state that models cannot be serialized in.)"""
+    spark = edges.sparkSession
     path = f"{checkpoint_dir(spark)}/edges-{uuid.uuid4().hex}"
-    seen = edges.observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
-    seen.write.parquet(path)
-    got = mark.get
-    return spark.read.schema(edges.schema).parquet(path), (got["n"], int(got["s"] or 0))
+    edges.write.parquet(path)
+    kept = spark.read.schema(edges.schema).parquet(path)
+    row = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return kept, (row[0], int(row[1] or 0))
 
 
 def components(edges: DataFrame) -> DataFrame:
