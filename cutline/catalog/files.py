@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from cutline.catalog.bindings import NAMES, pick, sql_key, sql_pick, sql_slug
+from cutline.catalog.labels import MAN, classified
 from cutline.catalog.names import ALIASES, STRICT
 from cutline.catalog.registry import Registry
 from cutline.operators import aliases as A
+from cutline.operators import manifest as MO
 from cutline.session import checkpoint_dir
 from cutline.sources import availability as SA
 from cutline.sources import event_files as SE
 from cutline.sources import matches as SM
 from cutline.sources import quotes as SQ
+from cutline.sources import raw as SR_RAW
 from cutline.sources import results as SR
 from cutline.sources import sinks as SS
 from cutline.sources import tournaments as ST
@@ -347,3 +350,67 @@ def export_query(v):
 def synthetic_matches(v):
     """Hashed matches, one per order."""
     return SS.synthetic_matches(v.table("orders").select(F.col("o_orderkey").alias("id")))
+
+
+@query(
+    "write_report",
+    """SELECT fold, count(*) AS n, round(avg(home_advances), 6) AS rate, count(*) AS csv_rows, count(*) AS parquet_rows, (SELECT count(*) FROM scored) AS total
+    FROM scored GROUP BY fold""",
+    ("scored",),
+)
+def write_report(v):
+    """The report of a run written in all its formats and read back: per-fold JSON, next to the rows in CSV and Parquet."""
+    path = f"{checkpoint_dir(v.spark)}/report-{uuid.uuid4().hex}"
+    cols = ["fold", "match_id", "home_advance_probability", "home_advances"]
+    rows = v.scored.select(*cols)
+    folds = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("home_advances").alias("rate"))
+    SS.write_report(path, rows, folds, rows.agg(F.count(F.lit(1)).alias("total")))
+    count = lambda df, name: df.groupBy("fold").agg(F.count(F.lit(1)).alias(name))
+    written = v.spark.read.option("header", True).csv(f"{path}/predictions_csv")
+    total = v.spark.read.schema("total long").json(f"{path}/summary_json").first()[0]
+    return (
+        v.spark.read.schema("fold string, n long, rate double").json(f"{path}/folds_json")
+        .join(count(written, "csv_rows"), "fold").join(count(v.spark.read.parquet(f"{path}/predictions_parquet"), "parquet_rows"), "fold")
+        .withColumn("total", F.lit(total).cast("long"))
+    )
+
+
+@query(
+    "write_manifest",
+    f"""WITH {MAN} SELECT 'manifest' AS artifact, source AS name, count(*) AS n FROM man GROUP BY 2
+    UNION ALL SELECT 'excluded', reason, count(*) FROM cl WHERE reason IS NOT NULL GROUP BY 2""",
+    ("duels",),
+)
+def write_manifest(v):
+    """The manifest's artifacts written as JSON tables and read back."""
+    path = f"{checkpoint_dir(v.spark)}/manifest-{uuid.uuid4().hex}"
+    rows = classified(v)
+    SS.write_manifest(path, {"manifest": MO.accepted(rows), "quarantine": MO.excluded(rows), "third_place": MO.excluded(rows, third_place=True)})
+    read = lambda name, col: v.spark.read.schema(f"{col} string").json(f"{path}/{name}").select(F.col(col).alias("name"))
+    parts = read("manifest", "source").withColumn("artifact", F.lit("manifest")).unionByName(
+        read("quarantine", "reason").unionByName(read("third_place", "reason")).withColumn("artifact", F.lit("excluded"))
+    )
+    return parts.groupBy("artifact", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+CHECKED = {"orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_nothing", "l_absent"), "events": ("event_id", "user_id", "missing_key")}
+
+
+@query(
+    "check_schema",
+    """SELECT 'orders' AS source, '' AS problem, count(*) AS n FROM orders UNION ALL
+    SELECT 'lineitem', 'missing columns: l_absent, l_nothing', count(*) FROM lineitem UNION ALL
+    SELECT 'events', 'missing columns: missing_key', count(*) FROM events""",
+)
+def check_schema(v):
+    """Required columns of whole tables: what is missing, and the rows concerned."""
+    out = None
+    for name, wanted in CHECKED.items():
+        df, problem = v.table(name), ""
+        try:
+            SR_RAW.check_schema(df, list(wanted))
+        except ValueError as missing:
+            problem = str(missing)
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), F.lit(problem).alias("problem"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

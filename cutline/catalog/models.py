@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cutline.catalog.features import V1_SQL, V1_VIEWS, features, v1_features
+from cutline.catalog.metrics import FOLDS_SQL
 from cutline.catalog.registry import Registry
 from cutline.operators import models as M
 from cutline.operators.features import V1_FEATURES
@@ -111,6 +112,37 @@ def stacked_predictions(v):
     return M.fit_stacker(rows).predict(rows).select("match_id", "stacked_probability")
 
 
+@query(
+    "weighted_blend",
+    """SELECT match_id, round(0.5 * coalesce(market_probability, 0.5 * (coalesce(elo_probability, 0.5) + home_advance_probability))
+      + 0.1 * coalesce(elo_probability, 0.5) + 0.4 * home_advance_probability, 6) AS stacked_probability FROM scored""",
+    ("scored",),
+)
+def weighted_blend(v):
+    """The stacker that needs no fit."""
+    return M.Stacker("weighted_blend").predict(_stack_rows(v)).select("match_id", "stacked_probability")
+
+
+@query(
+    "select_base_learner",
+    f"""WITH {FOLDS_SQL}, n AS (SELECT fold, count(*) FILTER (kickoff_at BETWEEN train_start AND train_end) AS n_train,
+      count(*) FILTER (kickoff_at BETWEEN validation_start AND validation_end) AS n_validation FROM folds CROSS JOIN duels GROUP BY fold)
+    SELECT fold, n_train, n_validation, CASE WHEN n_train < 2500 OR n_validation < 1 THEN 'logistic' ELSE 'boosted' END AS learner,
+      CASE WHEN n_train < 2500 THEN 'n_train=' || n_train || ' < 2500' WHEN n_validation < 1 THEN 'no_validation_examples' ELSE 'enabled' END AS reason FROM n""",
+    ("duels",),
+)
+def select_base_learner(v):
+    """The learner of each walk-forward fold, from the sizes of its windows."""
+    from cutline.catalog.metrics import walk_folds
+    from cutline.operators.folds import fold_membership
+
+    parts = fold_membership(v.duels.select("match_id", "kickoff_at"), walk_folds(v)).groupBy("fold").agg(
+        F.count_if(F.col("part") == "train").alias("t"), F.count_if(F.col("part") == "validation").alias("w")
+    )
+    rows = [(r["fold"], r["t"], r["w"], *M.select_base_learner(True, r["t"], r["w"], 2500)) for r in parts.collect()]
+    return v.spark.createDataFrame(rows, "fold string, n_train long, n_validation long, learner string, reason string")
+
+
 @query("isotonic_calibration")
 def isotonic_calibration(v):
     rows = v.scored.withColumnRenamed("home_advance_probability", "stacked_probability")
