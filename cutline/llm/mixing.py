@@ -23,7 +23,7 @@ SAMPLE, PASSAGE, FEATURES = 1000, 32768, 512
 BUCKET_BITS = 18
 ROUND = 1 << 19
 #: Projected gradient: most steps, the residual (as a part of all tokens) at which it stops, and the change at which it rests.
-STEPS, ENOUGH, SETTLED = 120, 1e-4, 1e-6
+STEPS, ENOUGH, SETTLED = 80, 1e-4, 2e-6
 #: Steps after which the rates are written, so that no row replays more than these in one pass.
 REPLAYED = 8
 MOST_REPEATS = 4.0
@@ -231,7 +231,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
     steps: list[tuple[list[float], float]] = []
     state, recent, still = members.select("tokens", "p", _start(floor, ceil).alias("s")), [], 0
     now = ahead = present * min(max(1.0, floor), ceil)
-    speed = 1.0
+    speed, loss = 1.0, lambda x: (x - wanted) @ inverse @ (x - wanted)
     while total and len(steps) < STEPS and still < 3:
         if np.abs(now - wanted).max() <= ENOUGH * total:
             break
@@ -243,6 +243,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
         after = state.select("p", w.alias("w"), _replay(p, F.col("s"), recent, floor, ceil).alias("s"))
         sums = after.agg(*[F.sum(F.col("w") * p[k] * F.col("s")[n]) for n in ("r", "y") for k in range(d)]).first()
         last, now, ahead = now, np.array(sums[:d], float), np.array(sums[d:], float)
+        if loss(now) > loss(last):  # the rates were carried too far: start again from rest
+            speed = 1.0
         still = still + 1 if np.abs(now - last).max() <= SETTLED * total else 0  # the bounds hold it: this is the fit
         if len(recent) == REPLAYED:
             state, recent = stored(after.select(F.col("w").cast("long").alias("tokens"), "p", "s"), "rates"), []
