@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from cutline.session import checkpoint_dir
 
 #: Code points that separate words: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 #: Bytes of texts that Spark hands to a Python worker at once.
@@ -54,3 +57,15 @@ def fresh(df: DataFrame, stem: str) -> str:
 def words_in(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def pieces(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of a text, a bounded piece of it at a time."""
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if end - at > size:
+            gap = _SPACE.search(data, at + size)
+            end = gap.start() if gap else end
+        yield data[at:end].split()
+        at = end

@@ -8,7 +8,6 @@ most one bit apart), a key of 26 bits; the rest of the chain and the full distan
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cutline.llm.common import fresh, stored
+from cutline.llm.common import pieces, stored
 from cutline.llm.graph import components
+from cutline.llm.near import keep_one
+
+__all__ = ["fingerprint", "fingerprints", "keep_one", "links", "simhash_groups"]
 
 BITS = 64
 SHINGLE = 4
@@ -32,7 +34,6 @@ DENSE = 2048
 PIECE = 1 << 20
 
 _LANES = np.uint64(0x0101010101010101)
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -47,24 +48,12 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out.reshape(BITS)
 
 
-def _pieces(data: bytes) -> Iterator[list[bytes]]:
-    """Words of a text, a bounded piece of it at a time."""
-    at = 0
-    while at < len(data):
-        end = len(data)
-        if end - at > PIECE:
-            gap = _SPACE.search(data, at + PIECE)
-            end = gap.start() if gap else end
-        yield data[at:end].split()
-        at = end
-
-
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Unsigned fingerprint of a whole text; 0 without words."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
     counts, n, tail = np.zeros(BITS, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    for piece in _pieces(data):
+    for piece in pieces(data, PIECE):
         words = tail + piece
         if len(words) >= size:
             joined = b" ".join(words)
@@ -199,19 +188,3 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, dense: int = DENSE) ->
     return marked.join(every, "f").select(
         "doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, size: int = SHINGLE, dense: int = DENSE) -> DataFrame:
-    """The documents with one row of each group kept: that with the group's smallest doc_id (of rows that repeat
-    this id, the smallest by its columns). Rows with a null doc_id cannot be told apart from one another and stay."""
-    groups = simhash_groups(docs, size, dense)
-    n, cols = fresh(docs, "_rows"), docs.columns
-    kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n)), "kept")
-    # One plan at every size: ids and texts are sorted by id and merged.
-    rows = docs.join(kept.hint("merge"), "doc_id")
-    out = rows.where(F.col(n) == 1).select(*cols).unionByName(docs.where("doc_id is null"))
-    if kept.where(F.col(n) > 1).isEmpty():
-        return out
-    row = fresh(docs, "_row")
-    again = rows.where(F.col(n) > 1).groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias(row))
-    return out.unionByName(again.select("doc_id", f"{row}.*").select(*cols))
