@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.llm.common import stored, words_in
+from cutline.llm.near import near_rows
 
 CAPACITY = 1024
 #: Documents packed together. Shards are packed apart from one another; each wastes at most its last bins.
@@ -105,3 +106,10 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = No
     items = rows.withColumn("tail", F.col("n_tokens") % capacity).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)))
     schema = "doc_id long, source string, cluster long, piece long, start long, n_tokens long, shard long, bin long, bin_offset long"
     return items.groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, capacity), schema)
+
+
+def packed_apart(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) -> DataFrame:
+    """``packed`` with the components of near copies (5-word shingles, similarity 0.8) as clusters, so that neither equal texts nor
+    near copies share a bin. Clusters come with the rows, not by id, so that null and repeated ids have the cluster of their text."""
+    rows = near_rows(docs, F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("n_tokens"))
+    return packed(rows, capacity, F.col("n_tokens"), F.col("component"), shard_rows)

@@ -11,7 +11,7 @@ from cutline.llm.bytenet import quality_scores
 from cutline.llm.common import table
 from cutline.llm.forest import nearest
 from cutline.llm.mixing import mixture
-from cutline.llm.packing import packed
+from cutline.llm.packing import packed_apart
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
 from cutline.llm.tokenpack import packed_segments
@@ -36,7 +36,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed_apart(table(spark, sf_dir, "documents"))
 
 
 def op6_tokenpack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cutline.llm import packing, tokenpack
-from cutline.llm.packing import best_fit, packed
+from cutline.llm.packing import best_fit, packed, packed_apart
 from cutline.llm.tokenpack import best_fit_decreasing, encode, encoder, positions, segment_digests, write_packed
 from cutline.llm.common import shared_path
 from tests.llm.conftest import LONG
@@ -75,6 +75,18 @@ def test_packed(documents, monkeypatch):
     assert packing.CAPACITY > 0
 
 
+def test_near_copies_never_share_a_bin(documents):
+    texts = [words(60, k) for k in range(10)]
+    rows = [(i if i % 7 else None, f"{texts[i % 10]} tail{i // 10}", f"s{i}") for i in range(50)]
+    got = packed_apart(documents(rows, ("component", "g", "n_tokens")), capacity=640).collect()
+    assert len(got) == len(rows) and sum(r["n_tokens"] for r in got) == 61 * len(rows)
+    assert len({r["cluster"] for r in got}) == 10
+    bins = {}
+    for r in got:
+        bins.setdefault((r["shard"], r["bin"]), []).append(r["cluster"])
+    assert len(bins) == 5 and all(len(set(b)) == len(b) for b in bins.values())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_segment_tree_search(seed):
     rng = random.Random(seed)
