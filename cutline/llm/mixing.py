@@ -7,6 +7,7 @@ totals, sum of rate x tokens x posterior, meet the target weights.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +23,13 @@ DOMAINS = ("poor", "poor_toxic", "clean", "clean_toxic")  # index: 2 * quality +
 SAMPLE, PASSAGE, FEATURES = 1000, 32768, 512
 BUCKET_BITS = 18
 ROUND = 1 << 19
-#: Projected gradient: most steps, the residual (as a part of all tokens) at which it stops, and the change at which it rests.
-STEPS, ENOUGH, SETTLED = 80, 1e-4, 2e-6
+#: Projected gradient: the residual (as a part of all tokens) at which it stops, the most by which a plain step may still move a rate at a
+#: bounded optimum, and the steps after which a fit that has reached neither is an error.
+STEPS, ENOUGH, SETTLED = 400, 1e-4, 1e-3
 #: Steps after which the rates are written, so that no row replays more than these in one pass.
 REPLAYED = 8
-MOST_REPEATS = 4.0
+#: No upper bound on the rates, unless the caller sets one.
+MOST_REPEATS = math.inf
 TARGETS = {"clean": 0.80, "clean_toxic": 0.05, "poor": 0.13, "poor_toxic": 0.02}
 
 _rng = np.random.default_rng(11)
@@ -211,6 +214,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
     step is taken in units of each row's own tokens, so that rows with equal posteriors get equal rates whatever their length.
     Steps are accelerated: each gradient is taken a little ahead of the rates, in the direction of their last change.
     ``keep_total``: the target total is the present one; else the smallest at which no domain must shrink.
+    Steps go on until the targets are met or the rates rest at their bounded optimum; a fit that does neither within ``STEPS`` raises.
     """
     d = len(DOMAINS)
     if set(targets) - set(DOMAINS) or min(targets.values(), default=0) < 0 or not sum(targets.values()):
@@ -229,12 +233,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
     wanted = weights * total
     inverse = np.linalg.pinv(gram, rcond=1e-9)
     steps: list[tuple[list[float], float]] = []
-    state, recent, still = members.select("tokens", "p", _start(floor, ceil).alias("s")), [], 0
+    state, recent, still = members.select("tokens", "p", _start(floor, ceil).alias("s")), [], math.inf
     now = ahead = present * min(max(1.0, floor), ceil)
     speed, loss = 1.0, lambda x: (x - wanted) @ inverse @ (x - wanted)
-    while total and len(steps) < STEPS and still < 3:
-        if np.abs(now - wanted).max() <= ENOUGH * total:
-            break
+    while total and still > SETTLED and np.abs(now - wanted).max() > ENOUGH * total:
+        if len(steps) == STEPS:
+            raise RuntimeError(f"rates did not settle in {STEPS} steps: wanted {wanted.tolist()}, reached {now.tolist()}")
         faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
         move = ((inverse @ (ahead - wanted)).tolist(), float((speed - 1) / faster))
         speed = faster
@@ -245,9 +249,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float], floor: float = 0.0,
         last, now, ahead = now, np.array(sums[:d], float), np.array(sums[d:], float)
         if loss(now) > loss(last):  # the rates were carried too far: start again from rest
             speed = 1.0
-        still = still + 1 if np.abs(now - last).max() <= SETTLED * total else 0  # the bounds hold it: this is the fit
         if len(recent) == REPLAYED:
             state, recent = stored(after.select(F.col("w").cast("long").alias("tokens"), "p", "s"), "rates"), []
+            # Where no row's rate would move, the bounds hold the fit: this is the optimum.
+            at_rest = _replay(p, F.struct("s.r", F.col("s.r").alias("y")), [((inverse @ (now - wanted)).tolist(), 0.0)], floor, ceil)["r"]
+            still = state.agg(F.max(F.abs(at_rest - F.col("s.r")))).first()[0] or 0.0
     return Fit(steps, floor, ceil, dict(zip(DOMAINS, wanted.tolist(), strict=True)), dict(zip(DOMAINS, now.tolist(), strict=True)))
 
 
@@ -259,33 +265,35 @@ def _copies(rate: Column, doc_id: Column) -> Column:
     return (whole + F.when(u < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, tokens, p_<domain>, domain (the likeliest), rate, copies for every row.
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, most: float = MOST_REPEATS) -> DataFrame:
+    """doc_id, tokens, p_<domain>, domain (the likeliest), rate, copies for every row, and wanted_<domain>, reached_<domain>: the
+    target and the expected total of each domain, the same on all rows, so that a target that was missed is seen.
 
     Tokens are words. Null and empty texts have no tokens, the prior as posterior (as far as words speak for nothing) and a
     rate like any other. Null ids and repeated rows keep a row each; equal rows get equal rates. An empty table gives no
     rows; without labels the posterior is flat. A domain that no document can reach leaves its target unmet: rates are then
-    the least-squares fit within 0 and four. Ties for the likeliest domain go to the first. Other columns are ignored.
+    the least-squares fit within 0 and ``most``. Ties for the likeliest domain go to the first. Other columns are ignored.
     """
     model = train(docs, labels, sample)
     members = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_in(F.col("text")).alias("tokens"), posteriors(model, F.col("text")).alias("p")), "posteriors"
     )
-    fit = fit_rates(members, targets)
+    fit = fit_rates(members, targets, ceil=most)
     rate = fit.rate(F.col("p"))
     names = F.array(*[F.lit(k) for k in DOMAINS])
     return members.withColumn("rate", F.round(rate, 6)).select(
         "doc_id", "tokens", *[F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS)],
         F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        *[F.lit(x).alias(f"{of}_{k}") for of, totals in (("wanted", fit.wanted), ("reached", fit.reached)) for k, x in totals.items()],
     )
 
 
-def remixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], floor: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+def remixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], floor: float = 1.0, sample: int = SAMPLE, most: float = MOST_REPEATS) -> DataFrame:
     """The documents, each as often as its rate says; with ``floor`` 1 none is lost and the mix is reached by repeats."""
     model = train(docs, labels, sample)
     p = posteriors(model, F.col("text"))
     members = stored(docs.select(words_in(F.col("text")).alias("tokens"), p.alias("p")), "posteriors")
-    fit = fit_rates(members, targets, floor=floor, keep_total=False)
+    fit = fit_rates(members, targets, floor=floor, ceil=most, keep_total=False)
     post, copies, copy = (fresh(docs, c) for c in ("_p", "_copies", "_copy"))
     rated = docs.withColumn(post, p).withColumn(copies, _copies(fit.rate(F.col(post)), F.col("doc_id")))
     repeats = rated.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))

@@ -86,3 +86,28 @@ def test_remixed_keeps_every_document(spark, documents):
     assert out.columns == docs.columns
     got = [r["doc_id"] for r in out.collect()]
     assert set(got) == {i for i, *_ in rows} | {None, 300} and len(got) > len(set(got))
+
+
+def test_a_rare_domain_is_repeated_as_often_as_its_target_needs(spark):
+    p = np.repeat(np.eye(4)[[2, 3]], [95, 5], 0)
+    rows, targets = members(spark, p, np.full(100, 10)), {"clean": 0.5, "clean_toxic": 0.5}
+    fit = fit_rates(rows, targets)
+    assert fit.reached["clean_toxic"] == pytest.approx(500, abs=1) and fit.reached["clean"] == pytest.approx(500, abs=1)
+    held = fit_rates(rows, targets, ceil=4.0)
+    assert held.wanted["clean_toxic"] == 500 and held.reached["clean_toxic"] == pytest.approx(200)
+
+
+def test_a_fit_that_has_not_settled_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    rng = np.random.default_rng(3)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        fit_rates(members(spark, rng.dirichlet([0.3] * 4, 300), rng.integers(1, 900, 300)), {"clean": 0.7, "poor": 0.1, "poor_toxic": 0.1, "clean_toxic": 0.1}, floor=0.5)
+
+
+def test_totals_are_returned(spark, documents):
+    rows = corpus(100)
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], LABELS)
+    got = mixture(documents([(i, t) for i, t, *_ in rows]), labels, {"clean": 0.5, "clean_toxic": 0.5}).collect()
+    for d in DOMAINS:
+        assert sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) == pytest.approx(got[0][f"reached_{d}"], rel=1e-3, abs=1)
+    assert got[0]["wanted_clean_toxic"] == pytest.approx(sum(r["tokens"] for r in got) / 2)
