@@ -30,7 +30,8 @@ STEPS, ENOUGH, SETTLED = 400, 1e-4, 1e-3
 REPLAYED = 8
 #: No upper bound on the rates, unless the caller sets one.
 MOST_REPEATS = math.inf
-TARGETS = {"clean": 0.80, "clean_toxic": 0.05, "poor": 0.13, "poor_toxic": 0.02}
+#: Equal shares, whatever mix the tables have.
+TARGETS = {"clean": 0.25, "clean_toxic": 0.25, "poor": 0.25, "poor_toxic": 0.25}
 
 _rng = np.random.default_rng(11)
 _VALUE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)

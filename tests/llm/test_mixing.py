@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cutline.llm import mixing
 from cutline.llm.mixing import DOMAINS, fit_rates, mixture, remixed
 from tests.llm.conftest import LONG
@@ -111,3 +112,17 @@ def test_totals_are_returned(spark, documents):
     for d in DOMAINS:
         assert sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) == pytest.approx(got[0][f"reached_{d}"], rel=1e-3, abs=1)
     assert got[0]["wanted_clean_toxic"] == pytest.approx(sum(r["tokens"] for r in got) / 2)
+
+
+def test_the_pipeline_targets_move_the_mix(spark, documents):
+    rows = [r for r in corpus(700, seed=4) if r[2] and (not r[3] or r[0] % 2)]
+    docs = documents([(i, t) for i, t, *_ in rows])
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], LABELS)
+    size, toxic = {i: len(t.split()) for i, t, *_ in rows}, {i for i, _, _, t in rows if t}
+    share = lambda ids: sum(size[i] for i in ids if i in toxic) / sum(size[i] for i in ids)
+    want = corpus_pipeline.TARGETS["clean_toxic"]
+    assert want - share(list(size)) > 0.1
+    assert share([r["doc_id"] for r in remixed(docs, labels, corpus_pipeline.TARGETS).collect()]) == pytest.approx(want, abs=0.03)
+    got = mixture(docs, labels, corpus_pipeline.TARGETS).collect()
+    expected = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) for d in DOMAINS}
+    assert expected["clean_toxic"] / sum(expected.values()) == pytest.approx(want, abs=0.01)
