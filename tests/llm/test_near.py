@@ -84,3 +84,8 @@ def test_edge_cases(documents):
     assert by[1] == by[2] == by[3] and by[4] == by[5] != by[6] and by[8] not in (by[1], by[4], by[6])
     assert len(shingles(LONG)) == 5
     assert keep_one(documents([])).count() == 0 and near_rows(documents([]), F.col("source")).count() == 0
+
+
+def test_null_and_repeated_ids_are_grouped_by_their_text(documents):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (7, "m n o p q r"), (None, "s t u v w x"), (None, "s t u v w x")]
+    assert sorted(r["text"][0] for r in keep_one(documents(rows)).collect()) == ["a", "g", "m", "s"]
