@@ -12,6 +12,7 @@ from cutline.llm.common import table
 from cutline.llm.forest import nearest
 from cutline.llm.mixing import mixture
 from cutline.llm.packing import packed_apart
+from cutline.llm.repair import damaged, repair_report
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
 from cutline.llm.tokenpack import packed_segments
@@ -59,6 +60,11 @@ def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_forest": op1_forest,
     "op2_bytenet": op2_bytenet,
@@ -70,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bm25": op9_bm25,
     "op10_wrappers": op10_wrappers,
+    "op13_repair": op13_repair,
 }
 ORACLES: dict[str, str] = {}
