@@ -12,6 +12,8 @@ from cutline.llm.common import table
 from cutline.llm.forest import nearest
 from cutline.llm.mixing import mixture
 from cutline.llm.packing import packed_apart
+from cutline.llm.phrases import SQL as PHRASES_SQL
+from cutline.llm.phrases import collocations
 from cutline.llm.repair import damaged, repair_report
 from cutline.llm.secrets import secret_spans
 from cutline.llm.simhash import simhash_groups
@@ -60,6 +62,10 @@ def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair_report(damaged(rows), rows)
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bm25": op9_bm25,
     "op10_wrappers": op10_wrappers,
+    "op11_phrases": op11_phrases,
     "op13_repair": op13_repair,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_phrases": PHRASES_SQL}
