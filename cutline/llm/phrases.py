@@ -288,13 +288,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
 #: DuckDB's way to the same rows, by counting all phrases.
 SQL = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), x -> x <> '') AS w FROM p),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, k, w[i : i + k - 1] AS g, count(*) AS c FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, {LONGEST + 1}) AS ks(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
 n AS (SELECT lang, sum(c)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
 f AS MATERIALIZED (SELECT * FROM g WHERE c >= {LEAST}),
 longer AS (SELECT lang, g[s : s + d - 1] AS g, max(c) AS most FROM f, range(1, {LONGEST}) AS ss(s), range(2, {LONGEST}) AS ds(d) WHERE d < k AND s + d - 1 <= k GROUP BY ALL),
 kept AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, g) WHERE k > 1 AND NOT coalesce(100 * most >= 80 * c, false)),
-cuts AS (SELECT lang, g, c AS a, j, x.c AS l, y.c AS r, ((2000000::HUGEINT * c) // (x.c + y.c))::BIGINT AS score FROM
+cuts AS (SELECT lang, g, o.c AS a, j, x.c AS l, y.c AS r, ((2000000::HUGEINT * o.c) // (x.c + y.c))::BIGINT AS score FROM
   (SELECT lang, g, c, unnest(range(1, k)) AS j, k FROM kept) AS o JOIN (SELECT lang, g AS xg, c FROM f) AS x USING (lang) JOIN (SELECT lang, g AS yg, c FROM f) AS y USING (lang) WHERE xg = g[1 : j] AND yg = g[j + 1 : k]),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
 r AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best)
