@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cutline.llm.bilinear import text_scores
 from cutline.llm.bm25 import top_documents
 from cutline.llm.bytenet import quality_scores
 from cutline.llm.common import table
@@ -66,6 +67,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair_report(damaged(rows), rows)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bm25": op9_bm25,
     "op10_wrappers": op10_wrappers,
     "op11_phrases": op11_phrases,
+    "op12_bilinear": op12_bilinear,
     "op13_repair": op13_repair,
 }
 ORACLES: dict[str, str] = {"op11_phrases": PHRASES_SQL}
