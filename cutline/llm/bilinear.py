@@ -98,15 +98,26 @@ def counted(train: DataFrame) -> tuple[DataFrame, Counts]:
     found = train.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     table = stored(found, "words")
     row = table.agg(F.sum("c"), F.count("*")).first()
-    head = table.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    return table, Counts(int(row[0] or 0), int(row[1]), tuple(bytes(r["word"]) for r in head), np.array([r["c"] for r in head], np.int64))
+    # Words by classes of like counts, and of these the highest that are HEAD words at most together.
+    level = F.floor(F.log2("c") * 16)
+    floor, size = None, 0
+    for r in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        size += r["count"]
+        if size > HEAD:
+            break
+        floor = r["level"]
+    head = table.where(level >= floor).collect() if floor is not None else []
+    head = sorted((-r["c"], bytes(r["word"])) for r in head)
+    return table, Counts(int(row[0] or 0), int(row[1]), tuple(w for _, w in head), np.array([-c for c, _ in head], np.int64))
 
 
 # -- model -----------------------------------------------------------------------------------
 
-def _softmax_log(s: np.ndarray) -> np.ndarray:
-    s = s - s.max(1, keepdims=True)
-    return s - np.log(np.exp(s).sum(1, keepdims=True))
+def _log_share(s: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logarithm of the target's share of each row's softmax; ``s`` is used up."""
+    s -= s.max(1, keepdims=True)
+    own = s[np.arange(len(target)), target]
+    return own - np.log(np.exp(s, out=s).sum(1))
 
 
 class Bilinear:
@@ -119,11 +130,11 @@ class Bilinear:
         mass = np.add.reduceat(noise, self.edges[:-1])
         self.class_noise = np.log(mass / mass.sum()).astype(np.float32)
         self.word_noise = np.log(noise / np.repeat(mass, np.diff(self.edges))).astype(np.float32)
-        self.shapes = {"context": (k + 1, SIZE), "place": (CONTEXT, SIZE), "word": (k, SIZE), "group": (n, SIZE), "word_bias": (k,), "group_bias": (n,)}
+        self.shapes = {"context": (k + 1, SIZE), "place": (CONTEXT, SIZE), "word": (k, SIZE + 1), "group": (n, SIZE + 1)}  # the last number is a bias
         if flat is None:
             rng = np.random.default_rng(seed)
-            start = {"context": rng.normal(0, 0.3, (k + 1, SIZE)), "place": np.ones((CONTEXT, SIZE)) / CONTEXT, "word": rng.normal(0, 0.02, (k, SIZE)),
-                     "group": rng.normal(0, 0.02, (n, SIZE)), "word_bias": self.word_noise, "group_bias": self.class_noise}
+            start = {"context": rng.normal(0, 0.3, (k + 1, SIZE)), "place": np.ones((CONTEXT, SIZE)) / CONTEXT,
+                     "word": np.c_[rng.normal(0, 0.02, (k, SIZE)), self.word_noise], "group": np.c_[rng.normal(0, 0.02, (n, SIZE)), self.class_noise]}
             flat = np.concatenate([start[name].ravel() for name in self.shapes])
         self.flat = flat.astype(np.float32)
         self.spent = np.full(len(self.flat), 1e-2, np.float32)
@@ -137,46 +148,58 @@ class Bilinear:
             at += size
 
     def foretold(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.context[context[:, i]] * self.place[i] for i in range(CONTEXT))
+        """The vector that is foretold for each token, and a one for the bias."""
+        out = np.ones((len(context), SIZE + 1), np.float32)
+        out[:, :SIZE] = sum(self.context[context[:, i]] * self.place[i] for i in range(CONTEXT))
+        return out
+
+    def _classes(self, group: np.ndarray):
+        """(rows, first symbol, end) of each class that occurs; rows are sorted by class."""
+        cuts = np.searchsorted(group, np.arange(len(self.edges)))
+        return [(slice(cuts[c], cuts[c + 1]), self.edges[c], self.edges[c + 1]) for c in np.flatnonzero(np.diff(cuts))]
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all symbols."""
+        order = np.argsort(target, kind="stable")
+        context, target = context[order], target[order]
         r, group = self.foretold(context), target // WIDTH
-        out = _softmax_log(r @ self.group.T + self.group_bias)[np.arange(len(target)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows, lo, hi = order[cuts[c] : cuts[c + 1]], self.edges[c], self.edges[c + 1]
-            s = _softmax_log(r[rows] @ self.word[lo:hi].T + self.word_bias[lo:hi])
-            out[rows] += s[np.arange(len(rows)), target[rows] - lo]
+        found = _log_share(r @ np.ascontiguousarray(self.group.T), group).astype(np.float64)
+        columns = np.ascontiguousarray(self.word.T)
+        for rows, lo, hi in self._classes(group):
+            found[rows] += _log_share(r[rows] @ columns[:, lo:hi], target[rows] - lo)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     @staticmethod
     def _contrast(s: np.ndarray, noise: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Gradient of the noise-contrastive objective by the scores, the noise's expectation whole."""
-        odds = 1.0 / (1.0 + np.exp(np.clip(noise + np.float32(np.log(NOISE)) - s, -30, 30)))
-        g = -(NOISE * np.exp(noise)) * odds
+        """Gradient of the noise-contrastive objective by the scores, the noise's expectation whole. ``s`` is used up."""
+        np.subtract(noise + np.float32(np.log(NOISE)), s, out=s)
+        np.exp(np.minimum(s, 60, out=s), out=s)
+        s += 1
+        odds = np.reciprocal(s, out=s)  # that the word is text and not noise
         rows = np.arange(len(target))
-        g[rows, target] += 1.0 - odds[rows, target]
-        return g
+        own = 1 - odds[rows, target]
+        odds *= -NOISE * np.exp(noise)
+        odds[rows, target] += own
+        return odds
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Ascent direction of a batch, flat."""
         out = Bilinear.__new__(Bilinear)
         out.shapes, out.flat = self.shapes, np.zeros_like(self.flat)
         out._views()
+        order = np.argsort(target, kind="stable")
+        context, target = context[order], target[order]
         r, group = self.foretold(context), target // WIDTH
-        g = self._contrast(r @ self.group.T + self.group_bias, self.class_noise, group)
-        out.group[:], out.group_bias[:] = g.T @ r, g.sum(0)
-        back = g @ self.group
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows, lo, hi = order[cuts[c] : cuts[c + 1]], self.edges[c], self.edges[c + 1]
-            x = r[rows]
-            g = self._contrast(x @ self.word[lo:hi].T + self.word_bias[lo:hi], self.word_noise[lo:hi], target[rows] - lo)
-            out.word[lo:hi], out.word_bias[lo:hi] = g.T @ x, g.sum(0)
-            back[rows] += g @ self.word[lo:hi]
+        g = self._contrast(r @ np.ascontiguousarray(self.group.T), self.class_noise, group)
+        out.group[:] = g.T @ r
+        back = g @ np.ascontiguousarray(self.group[:, :SIZE])
+        columns, vectors = np.ascontiguousarray(self.word.T), np.ascontiguousarray(self.word[:, :SIZE])
+        for rows, lo, hi in self._classes(group):
+            g = self._contrast(r[rows] @ columns[:, lo:hi], self.word_noise[lo:hi], target[rows] - lo)
+            out.word[lo:hi] = g.T @ r[rows]
+            back[rows] += g @ vectors[lo:hi]
         for i in range(CONTEXT):
             word = context[:, i]
             out.place[i] = (back * self.context[word]).sum(0)
@@ -304,7 +327,7 @@ def text_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     are ignored; an empty table gives no rows. Where nothing can be learnt from, every token has probability one.
 
     Texts are never shuffled. Counting shuffles a row per task and word, scoring a row per text and rare word (not among the
-    65,536 most frequent ones, whose counts all tasks hold).
+    65,536 most frequent ones at most, whose counts all tasks hold).
     """
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -317,8 +340,7 @@ def text_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scored = stored(scored, "scored")
     pairs = scored.select("row", F.explode("rare").alias("z")).select("row", "z.word", F.col("z.n").alias("n"))
     if counts.words:
-        floor, last = int(counts.counts[-1]), counts.words[-1]
-        table = table.where((F.col("c") < floor) | ((F.col("c") == floor) & (F.col("word") > F.lit(last))))
+        table = table.where(F.col("c") < int(counts.counts[-1]))
     c = F.coalesce("c", F.lit(0))
     more = pairs.join(table, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),

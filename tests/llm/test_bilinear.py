@@ -91,7 +91,7 @@ def test_gradient_against_differences():
         for j, t in enumerate(target):
             g = t // B.WIDTH
             lo, hi = model.edges[g], model.edges[g + 1]
-            for s, p, own in ((r[j] @ model.group.T + model.group_bias, model.class_noise, g), (r[j] @ model.word[lo:hi].T + model.word_bias[lo:hi], model.word_noise[lo:hi], t - lo)):
+            for s, p, own in ((r[j] @ model.group.T, model.class_noise, g), (r[j] @ model.word[lo:hi].T, model.word_noise[lo:hi], t - lo)):
                 p = p.astype(np.float64)
                 odds = 1 / (1 + np.exp(p + math.log(B.NOISE) - s))
                 total += math.log(odds[own]) + B.NOISE * (np.exp(p) * np.log(1 - odds)).sum()
