@@ -59,18 +59,18 @@ st AS (
         CASE WHEN st.t[m.h] = 0 THEN 1500.0::DOUBLE ELSE {rate.format(i='m.h')} END AS h0,
         CASE WHEN st.t[m.a] = 0 THEN 1500.0::DOUBLE ELSE {rate.format(i='m.a')} END AS a0
       FROM st JOIN m ON m.pool = st.pool AND m.n = st.n + 1))),
-hist AS (
+hist AS MATERIALIZED (
   SELECT st.pool, st.match_id, m.kickoff_at, m.home_team_id AS team_id, h0 AS rating_before, h1 AS rating FROM st JOIN m USING (pool, match_id)
   UNION ALL
   SELECT st.pool, st.match_id, m.kickoff_at, m.away_team_id, a0, a1 FROM st JOIN m USING (pool, match_id)),
 hist_at AS (SELECT team_id, kickoff_at, {tie}(rating, match_id) AS rating FROM hist GROUP BY ALL)"""
 
 
-def history(v, config=FLAT, importance=False, max_rows=E.MAX_ROWS_PER_TASK):
+def history(v, config=FLAT, importance=False, max_rows=E.MAX_ROWS_PER_TASK, pools=False):
     m = v.duels
     if importance:
         m = m.join(v.competitions, "competition_id", "left")
-    return E.elo_ratings(m, config, importance="importance_weight" if importance else None, max_rows_per_task=max_rows)
+    return E.elo_ratings(m, config, importance="importance_weight" if importance else None, max_rows_per_task=max_rows, pools=pools)
 
 
 
@@ -81,18 +81,18 @@ SELECT min(team_id) OVER (PARTITION BY pool) AS pool, CAST(match_id AS VARCHAR)
 
 @query("elo_ratings", elo_sql() + HISTORY_SELECT, ("duels",))
 def elo_ratings(v):
-    return history(v).drop("seq")
+    return history(v, pools=True).drop("seq")
 
 
 @query("elo_ratings_decay_margin", elo_sql(0.0005, True, True, first=False) + HISTORY_SELECT, ("duels", "competitions"))
 def elo_ratings_decay_margin(v):
-    return history(v, DECAYED, True).drop("seq")
+    return history(v, DECAYED, True, pools=True).drop("seq")
 
 
 @query("elo_ratings_in_time_slices", elo_sql() + HISTORY_SELECT, ("duels",))
 def elo_ratings_in_time_slices(v):
-    """The same history, with the input of each task bounded to a third of the largest pool."""
-    return history(v, max_rows=max(1, v.duels.count() // 15)).drop("seq")
+    """The same history from some fifteen time slices that are scanned side by side until their starts agree."""
+    return history(v, max_rows=max(1, v.duels.count() // 15), pools=True).drop("seq")
 
 
 @query(
@@ -104,7 +104,7 @@ SELECT min(team_id) OVER (PARTITION BY pool) AS pool, team_id, matches, best, la
     ("duels",),
 )
 def rating_history(v):
-    return history(v).groupBy("pool", "team_id").agg(
+    return history(v, pools=True).groupBy("pool", "team_id").agg(
         F.count(F.lit(1)).alias("matches"), F.max("rating").alias("best"),
         F.max_by("rating", F.struct("kickoff_at", "seq")).alias("latest"),
     )
@@ -117,11 +117,11 @@ SELECT min(team_id) AS pool, count(*) AS updates, round(sum(rating - rating_befo
     ("duels",),
 )
 def elo_zero_sum(v):
-    steps = E.rating_steps(history(v))
+    steps = E.rating_steps(history(v, pools=True))
     return steps.groupBy("pool").agg(F.count(F.lit(1)).alias("updates"), F.sum("delta").alias("drift"))
 
 
-ASOF = """, at_cut AS (
+ASOF = """, at_cut AS MATERIALIZED (
   SELECT c.team_id, c.cutoff_time, coalesce(h.rating, 1500.0) AS rating
   FROM team_cutoffs c ASOF LEFT JOIN hist_at h ON c.team_id = h.team_id AND h.kickoff_at <= c.cutoff_time)"""
 
@@ -175,7 +175,7 @@ SELECT min(team_id) AS pool, count(*) AS updates, round(sum(rating), 4) AS total
 def elo_training_slice(v):
     """Ratings known at a training start: later matches never change earlier ratings."""
     before = v.duels.filter(F.col("kickoff_at") < F.to_timestamp(F.lit("1998-01-01")))
-    h = E.elo_ratings(before, FLAT)
+    h = E.elo_ratings(before, FLAT, pools=True)
     return h.groupBy("pool").agg(F.count(F.lit(1)).alias("updates"), F.round(F.sum("rating"), 4).alias("total"))
 
 

@@ -56,3 +56,23 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
         seen = now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def components_of_few(edges: DataFrame, most: int) -> DataFrame | None:
+    """``components`` of an edge table of at most ``most`` rows, which the driver can hold; None for a larger one."""
+    rows = edges.where("a is not null and b is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in rows:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    kind = edges.schema["a"].dataType.simpleString()
+    found = [(x, root(x)) for x in parent]
+    return edges.sparkSession.createDataFrame(found, f"node {kind}, component {kind}")

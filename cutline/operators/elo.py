@@ -1,11 +1,10 @@
 """Sequential ratings.
 
-Each update reads the two ratings left by earlier matches. Teams that never meet, not even through
-others, cannot influence each other: the pools that are scanned in parallel are the connected parts of
-the table of meetings, found from the data, so the result is that of one scan over everything. Within a
-pool the scan streams Arrow batches and keeps one small entry per team; a long history is cut into
-consecutive time slices, each a job of its own whose input is bounded and whose end state is a
-written table, so a lost executor repeats one slice of one pool only.
+Each update reads the two ratings left by earlier matches. A short history is one ordered scan, Arrow batches with a small entry per
+team. A long one is cut into time slices that are scanned side by side, each from a guess of the ratings at its start; the ends of the
+earlier slices then give better starts, and slices whose starts moved are scanned again until none moves. Slices forget their
+starts quickly (a match shrinks an error by several per cent), so the rounds are few however many slices there are, and never more than
+slices. No task holds more than a slice, whoever met whom.
 """
 
 from __future__ import annotations
@@ -19,11 +18,17 @@ from pyspark.sql import functions as F
 
 from cutline.functions import probability as P
 from cutline.functions.timeutil import days_between
-from cutline.operators.components import components
+from cutline.operators.components import components, components_of_few
 from cutline.operators.pit import SLICE_DAYS, Latest, pit_lookup
 from cutline.session import checkpoint_dir
 
-MAX_ROWS_PER_TASK = 20_000_000
+MAX_ROWS_PER_TASK = 2_000_000
+#: Starts that move by no more than this are settled; ratings of the last round differ from those of one scan by about as much.
+SETTLED = 2e-11
+#: Slice ends of the teams that one task takes starts from. Groups of teams are drawn by hash; what is lost in one is spread in it.
+GROUP_ROWS = 2_000_000
+#: Pairs of teams up to which pools are found on the driver.
+FEW_PAIRS = 100_000
 
 
 @dataclass(frozen=True)
@@ -43,60 +48,64 @@ class EloConfig:
 
 
 HISTORY_SCHEMA = (
-    "pool string, match_key string, team_id string, kickoff_at timestamp, seq long, "
-    "rating_before double, rating double"
+    "slice int, match_key string, team_id string, kickoff_at timestamp, seq long, "
+    "rating_before double, rating double, left double, slope double"
 )
+HISTORY = ("match_key", "team_id", "kickoff_at", "seq", "rating_before", "rating")
 
 
 def _scan(cfg: dict):
-    """Ordered scan over (pool, kickoff, match) batches; state rows come first in each pool."""
+    """Ordered scan over (slice, kickoff, match) batches; state rows come first in each slice. Of a change of the team's
+    rating since its last match, decay leaves the share ``left`` and the match the share ``slope``; the rest goes to opponents."""
 
     def run(batches):
         import pandas as pd
 
         initial, lam, target = cfg["initial_rating"], cfg["time_decay_per_day"], cfg["decay_target"]
         use_mov, keep_first = cfg["mov_multiplier"] > 0, cfg["equal_time"] == "first"
-        day_us = 86400.0 * 1e6
-        pool, state, seq = None, {}, 0
+        day_us, per_point = 86400.0 * 1e6, math.log(10.0) / 400.0
+        now_in, state, seq = None, {}, 0
 
         def rating_at(team, now):
+            """Rating, and what decay has left of it."""
             entry = state.get(team)
             if entry is None:
-                return initial
+                return initial, 1.0
             value, since = entry
             if lam > 0 and now > since:
-                return target + (value - target) * math.exp(-lam * (now - since) / day_us)
-            return value
+                left = math.exp(-lam * (now - since) / day_us)
+                return target + (value - target) * left, left
+            return value, 1.0
 
-        def record(team, now, value):
+        def record(team, now, value, left, slope):
             entry = state.get(team)
             if keep_first and entry is not None and entry[1] == now:
-                return
+                return 1.0, 1.0
             state[team] = (value, now)
+            return left, slope
 
         for pdf in batches:
             out = []
             cols = [pdf[c].tolist() for c in (
-                "pool", "match_key", "us", "home", "away", "score", "edge", "k", "mov", "seed")]
-            for p, key, us, home, away, score, edge, k, mov, seed in zip(*cols, strict=True):
-                if p != pool:
-                    pool, state = p, {}
+                "slice", "match_key", "us", "home", "away", "score", "edge", "k", "mov", "seed")]
+            for part, key, us, home, away, score, edge, k, mov, seed in zip(*cols, strict=True):
+                if part != now_in:
+                    now_in, state = part, {}
                 if seed == seed:  # a carried state row, not a match
                     state[home] = (seed, us)
                     continue
-                rh, ra = rating_at(home, us), rating_at(away, us)
+                (rh, lh), (ra, la) = rating_at(home, us), rating_at(away, us)
                 expected = 1.0 / (1.0 + 10.0 ** ((ra - rh - edge) / 400.0))
                 step = k * (mov if use_mov else 1.0)
                 nh, na = rh + step * (score - expected), ra + step * ((1.0 - score) - (1.0 - expected))
-                record(home, us, nh)
-                record(away, us, na)
-                out.append((p, key, home, us, seq, rh, nh))
-                out.append((p, key, away, us, seq + 1, ra, na))
+                own = 1.0 - step * per_point * expected * (1.0 - expected)
+                out.append((part, key, home, us, seq, rh, nh, *record(home, us, nh, lh, lh * own)))
+                out.append((part, key, away, us, seq + 1, ra, na, *record(away, us, na, la, la * own)))
                 seq += 2
             frame = pd.DataFrame(out, columns=[
-                "pool", "match_key", "team_id", "us", "seq", "rating_before", "rating"])
+                "slice", "match_key", "team_id", "us", "seq", "rating_before", "rating", "left", "slope"])
             frame["kickoff_at"] = pd.to_datetime(frame.pop("us"), unit="us", utc=True)
-            yield frame[["pool", "match_key", "team_id", "kickoff_at", "seq", "rating_before", "rating"]]
+            yield frame[["slice", "match_key", "team_id", "kickoff_at", "seq", "rating_before", "rating", "left", "slope"]]
 
     return run
 
@@ -133,39 +142,37 @@ def elo_input(
     ).filter(F.col("score").isNotNull())
 
 
-def with_pools(rows: DataFrame) -> DataFrame:
-    """Adds the pool of each match: the smallest team reachable over meetings. Both sides share it by definition."""
-    found = components(rows.select(F.col("home").alias("a"), F.col("away").alias("b")))
-    return rows.join(found.select(F.col("node").alias("home"), F.col("component").alias("pool")), "home", "left").withColumn(
-        "pool", F.coalesce("pool", "home")
-    )
+def team_pools(rows: DataFrame) -> DataFrame:
+    """(team_id, pool) from meetings (home, away): the pool is the smallest team reachable over meetings."""
+    pairs = rows.select(F.col("home").alias("a"), F.col("away").alias("b")).distinct()
+    found = components_of_few(pairs, FEW_PAIRS)
+    return (components(pairs) if found is None else found).select(F.col("node").alias("team_id"), F.col("component").alias("pool"))
+
 
+def with_pools(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds the pool of each row's team, so that parts of a history that never meet can be told apart."""
+    named = history.join(team_pools(rows), "team_id", "left").withColumn("pool", F.coalesce("pool", "team_id"))
+    return named.select("pool", *HISTORY)
 
-def _one_pass(rows: DataFrame, config: EloConfig) -> DataFrame:
-    # state rows (seed set) sort before the matches of their pool
+
+def _scanned(rows: DataFrame, config: EloConfig) -> DataFrame:
+    # state rows (seed set) sort before the matches of their slice
     return (
-        rows.repartition("pool")
-        .sortWithinPartitions("pool", F.isnan("seed"), "us", "_order")
+        rows.repartition("slice")
+        .sortWithinPartitions("slice", F.isnan("seed"), "us", "_order")
         .drop("_order")
         .mapInPandas(_scan(asdict(config)), HISTORY_SCHEMA)
     )
 
 
 def time_slices(rows: DataFrame, max_rows: int) -> list[int]:
-    """Boundaries (epoch us) such that no pool has more than ``max_rows`` rows in a slice.
+    """Boundaries (epoch us) such that no slice has more than ``max_rows`` rows (a day is never cut).
 
     The driver sees one number per day of history, nothing that grows with the rows.
     """
     day = F.floor(F.col("us") / F.lit(86400 * 1_000_000)).cast("long")
-    per_day = (
-        rows.groupBy("pool", day.alias("day"))
-        .count()
-        .groupBy("day")
-        .agg(F.max("count").alias("n"))
-        .orderBy("day")
-    )
     bounds, filled = [], 0
-    for row in per_day.toLocalIterator():
+    for row in rows.groupBy(day.alias("day")).agg(F.count("*").alias("n")).orderBy("day").toLocalIterator():
         if filled and filled + row["n"] > max_rows:
             bounds.append(row["day"] * 86400 * 1_000_000)
             filled = 0
@@ -173,6 +180,102 @@ def time_slices(rows: DataFrame, max_rows: int) -> list[int]:
     return bounds
 
 
+def _starts(initial: float):
+    """Start of every slice of a team but its first, from the ends of the slices before.
+
+    A start that has moved since its slice was scanned moves the slice's end by its slope; what the slopes of a slice lose went to opponents
+    and is spread over the slice's teams as they meet others. Rows come by (group, slice); a group keeps one entry per team.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        state: dict = {}
+        held, here = [], None
+
+        def closed():
+            """The starts of the slice that is held, and the ends that follow from them."""
+            out, moved = [], []
+            for _, part, team, used, _, _, _, _ in held:
+                known = state.get(team)
+                if known is not None:
+                    out.append((part, team, *known, used))
+                start = known[0] if known is not None else initial
+                moved.append(start - (initial if used != used else used))
+            e, left, slope = np.array(moved), np.array([h[6] for h in held]), np.array([h[7] for h in held])
+            gone = left - slope
+            total = gone.sum()
+            e = slope * e + (gone * (gone @ e) / total if total > 0 else 0.0)
+            for (_, _, team, _, end, us, _, _), x in zip(held, e.tolist(), strict=True):
+                state[team] = (end + x, us)
+            return out
+
+        def frame(out):
+            return pd.DataFrame(out, columns=["slice", "team_id", "seed", "us", "used"])
+
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[c].tolist() for c in ("group", "slice", "team_id", "used", "end", "us", "left", "slope")), strict=True):
+                if row[:2] != here:
+                    if held:
+                        out += closed()
+                    if here is None or row[0] != here[0]:
+                        state = {}
+                    held, here = [], row[:2]
+                held.append(row)
+            yield frame(out)
+        if held:
+            yield frame(closed())
+
+    return run
+
+
+def sliced_ratings(rows: DataFrame, config: EloConfig, bounds: list[int]) -> tuple[DataFrame, int]:
+    """(history, rounds) of prepared rows cut at ``bounds``; all slices of a round run side by side.
+
+    Between rounds only one row per (slice, team) is shuffled; the driver sees the numbers of the slices to scan again. Each round's tables are
+    written, so a lost executor repeats slices of one round.
+    """
+    spark = rows.sparkSession
+    base = f"{checkpoint_dir(spark)}/elo-{uuid.uuid4().hex}"
+    number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("us")))
+    rows.withColumn("slice", number).repartition("slice").write.partitionBy("slice").parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    todo, latest, starts, ends = list(range(len(bounds) + 1)), {}, None, None
+    done = 0
+    while todo:
+        own = F.col("slice").isin(todo)
+        part = rows.where(own)
+        if starts is not None:
+            carried = starts.where(own).select("slice", F.col("team_id").alias("home"), "us", "seed")
+            part = part.unionByName(carried, allowMissingColumns=True)
+        path = f"{base}/history/round={done}"
+        _scanned(part, config).write.partitionBy("slice").parquet(path)
+        latest |= dict.fromkeys(todo, done)
+        new = last_of_team(spark.read.parquet(path), config)
+        used = starts.where(own).select("slice", "team_id", F.col("seed").alias("used")) if starts is not None else None
+        new = new.join(used, ["slice", "team_id"], "left") if used is not None else new.withColumn("used", F.lit(None).cast("double"))
+        if ends is not None:
+            new = new.unionByName(ends.where(~own))
+        new.write.parquet(f"{base}/ends/{done}")
+        ends = spark.read.parquet(f"{base}/ends/{done}")
+        groups = 1 + ends.count() // GROUP_ROWS
+        order = ends.withColumn("group", F.pmod(F.xxhash64("team_id"), F.lit(groups)))
+        order = order.repartition("group").sortWithinPartitions("group", "slice", "team_id")
+        schema = "slice int, team_id string, seed double, us long, used double"
+        order.mapInPandas(_starts(config.initial_rating), schema).write.parquet(f"{base}/starts/{done}")
+        starts = spark.read.parquet(f"{base}/starts/{done}")
+        done += 1
+        moved = F.col("used").isNull() | F.isnan("used") | (F.abs(F.col("seed") - F.col("used")) > SETTLED)
+        todo = sorted(r["slice"] for r in starts.where(moved).select("slice").distinct().collect())
+        if done > len(bounds) + 2:
+            raise RuntimeError("ratings of time slices did not settle")
+    kept = F.create_map(*[F.lit(x) for pair in latest.items() for x in pair])
+    history = spark.read.parquet(f"{base}/history").where(F.col("round") == kept[F.col("slice")])
+    return history.select("slice", *HISTORY), done
+
+
 def elo_ratings(
     matches: DataFrame,
     config: EloConfig | None = None,
@@ -180,53 +283,31 @@ def elo_ratings(
     importance: str | None = None,
     match_id: str = "match_id",
     max_rows_per_task: int = MAX_ROWS_PER_TASK,
+    pools: bool = True,
 ) -> DataFrame:
     """Rating history: two rows per match, before and after.
 
-    ``max_rows_per_task`` bounds the input of every task: longer histories run as consecutive
-    time slices with the end state written in between. The prepared rows are written once, a folder
-    per slice, so that every slice reads its own rows only.
+    ``max_rows_per_task`` bounds the input of every task: longer histories run as time slices side by side, in rounds. ``pools`` adds
+    the smallest team that a row's team is connected with by meetings.
     """
     cfg = config or EloConfig()
-    spark = matches.sparkSession
-    base = f"{checkpoint_dir(spark)}/elo-{uuid.uuid4().hex}"
-    prepared = with_pools(elo_input(matches, cfg, importance, match_id))
+    prepared = elo_input(matches, cfg, importance, match_id)
     bounds = time_slices(prepared, max_rows_per_task)
-    if not bounds:
-        return _one_pass(prepared, cfg)
-    number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("us")))
-    prepared.withColumn("slice", number).repartition("slice", "pool").write.partitionBy("slice").parquet(f"{base}/rows")
-    rows = spark.read.parquet(f"{base}/rows")
-    edges = [None, *bounds, None]
-    state = None
-    for i in range(len(edges) - 1):
-        hi = edges[i + 1]
-        part = rows.filter(F.col("slice") == i).drop("slice")
-        if state is not None:
-            part = part.unionByName(
-                state.select("pool", F.col("team_id").alias("home"), "us", "seed"),
-                allowMissingColumns=True,
-            )
-        _one_pass(part, cfg).write.mode("overwrite").parquet(f"{base}/history/slice={i}")
-        if hi is None:
-            break
-        new = spark.read.parquet(f"{base}/history/slice={i}")
-        ends = last_of_team(new, cfg)
-        if state is not None:
-            ends = state.unionByName(ends).groupBy("pool", "team_id").agg(
-                F.max_by("seed", "us").alias("seed"), F.max("us").alias("us")
-            )
-        ends.write.mode("overwrite").parquet(f"{base}/state/{i}")
-        state = spark.read.parquet(f"{base}/state/{i}")
-    return spark.read.parquet(f"{base}/history").drop("slice")
+    if bounds:
+        history, _ = sliced_ratings(prepared, cfg, bounds)
+    else:
+        history = _scanned(prepared.withColumn("slice", F.lit(0)), cfg)
+    return with_pools(history, prepared) if pools else history.select(*HISTORY)
 
 
 def last_of_team(history: DataFrame, config: EloConfig) -> DataFrame:
-    """State after a slice: one row per (pool, team)."""
+    """State after a slice: one row per (slice, team) with what is left of a change of its start."""
     tie = -F.col("seq") if config.equal_time == "first" else F.col("seq")
-    return history.groupBy("pool", "team_id").agg(
-        F.max_by("rating", F.struct("kickoff_at", tie.alias("t"))).alias("seed"),
+    return history.groupBy("slice", "team_id").agg(
+        F.max_by("rating", F.struct("kickoff_at", tie.alias("t"))).alias("end"),
         F.unix_micros(F.max("kickoff_at")).alias("us"),
+        F.product("left").alias("left"),
+        F.product("slope").alias("slope"),
     )
 
 
@@ -303,5 +384,5 @@ def rating_steps(history: DataFrame) -> DataFrame:
 
 __all__ = [
     "EloConfig", "MAX_ROWS_PER_TASK", "elo_input", "elo_probability", "elo_ratings", "rating_asof",
-    "rating_column", "rating_specs", "rating_steps", "time_slices", "with_pools",
+    "rating_column", "rating_specs", "rating_steps", "sliced_ratings", "team_pools", "time_slices", "with_pools",
 ]

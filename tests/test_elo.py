@@ -123,3 +123,45 @@ def test_a_team_in_two_competitions_has_one_rating(table):
     r += 20 * (1 - 1 / (1 + 10 ** ((1500 - r) / 400)))
     r += 20 * (0 - 1 / (1 + 10 ** ((1500 - r) / 400)))
     assert got == pytest.approx(r)
+
+
+def slices(df, cfg, rows):
+    prepared = E.elo_input(df, cfg)
+    bounds = E.time_slices(prepared, rows)
+    return E.sliced_ratings(prepared, cfg, bounds), len(bounds) + 1
+
+
+@pytest.mark.parametrize("cfg", [E.EloConfig(), E.EloConfig(time_decay_per_day=0.002, mov_multiplier=1, equal_time="last", decay_target=1500.0)])
+def test_slices_settle_in_few_rounds(spark, cfg):
+    df = materialize(synthetic_matches(spark.range(1500), n_teams=12), "long-season")
+    one = ratings(df, cfg, pools=False)
+    (history, rounds), n = slices(df, cfg, 60)
+    many = {(r["match_key"], r["team_id"]): r["rating"] for r in history.collect()}
+    assert n >= 25 and rounds <= 22
+    assert one.keys() == many.keys() and max(abs(many[k] - one[k]) for k in one) < 1e-9
+
+
+def test_slices_of_teams_that_pause(table):
+    """A team that misses slices starts from its own last one; a team that comes late starts from the initial rating."""
+    days = [f"2020-{1 + d // 28:02d}-{1 + d % 28:02d}T12:00:00" for d in range(120)]
+    rows = [(d, days[d], "ab"[d % 2], "c" if d % 7 else "late" if d > 60 else "d", d % 3, d % 2, d % 5 == 0, None) for d in range(120)]
+    rows += [(1000, days[0], "idle", "a", 2, 0, True, None), (1001, days[119], "idle", "b", 0, 1, True, None)]
+    df = table(rows, SCHEMA)
+    one = ratings(df, pools=False)
+    for n in (9, 50):
+        got = {(r["match_key"], r["team_id"]): r["rating"] for r in slices(df, E.EloConfig(), n)[0][0].collect()}
+        assert max(abs(got[k] - one[k]) for k in one) < 1e-9 and got.keys() == one.keys()
+
+
+def test_no_task_holds_more_than_a_slice(spark):
+    df = materialize(synthetic_matches(spark.range(800), n_teams=6), "one-pool")
+    prepared = E.elo_input(df, E.EloConfig())
+    bounds = E.time_slices(prepared, 60)
+    number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("us")))
+    most = prepared.groupBy(number.alias("s")).count().agg(F.max("count")).first()[0]
+    assert most <= 60
+
+
+def test_empty_history(table):
+    df = table([(1, DAY[0], "a", "b", None, None, True, None)], SCHEMA)
+    assert E.elo_ratings(df).count() == 0
