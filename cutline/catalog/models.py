@@ -143,6 +143,36 @@ def select_base_learner(v):
     return v.spark.createDataFrame(rows, "fold string, n_train long, n_validation long, learner string, reason string")
 
 
+OOF_SQL = f"""{V1_SQL}, l AS (SELECT v1.*, kickoff_at AS k FROM v1 JOIN (SELECT match_id, home_advances FROM results) USING (match_id)),
+  r AS (SELECT *, row_number() OVER (ORDER BY k) AS pos, count(*) OVER () AS n FROM l),
+  c AS (SELECT DISTINCT r.k AS cut FROM r, range(1, 6) AS js(j) WHERE pos = (n * j + 5) // 6 + 1 AND r.k > (SELECT min(k) FROM r)),
+  b AS (SELECT match_id, k, (SELECT count(*) FROM c WHERE cut <= k) AS block FROM l)"""
+
+
+@query(
+    "out_of_fold_sources",
+    f"""{OOF_SQL} SELECT match_id, CAST(block AS INTEGER) AS block, CASE WHEN block > 0 THEN 'block_' || block END AS source,
+      (SELECT max(cut) FROM c WHERE cut <= k) AS trained_until, block > 0 AS scored FROM b""",
+    V1_VIEWS,
+)
+def out_of_fold_sources(v):
+    """Block and source model of each row, and the instant that everything its model saw lies before."""
+    from cutline.plans.training import out_of_fold
+
+    rows = materialize(labelled_v1(v), "v1")
+    return out_of_fold(rows, V1_FEATURES).select("match_id", "block", "source", "trained_until", F.col("base_probability").isNotNull().alias("scored"))
+
+
+@query("out_of_fold_stack")
+def out_of_fold_stack(v):
+    """The stacker on out-of-fold scores of the training window, scored on the test window."""
+    from cutline.plans.training import TrainConfig, train
+
+    rows = labelled_features(v)
+    fitted = train(_window(rows, *WINDOWS["train"]), _window(rows, *WINDOWS["validation"]), TrainConfig(oof_splits=5))
+    return fitted.score(_window(rows, *WINDOWS["test"])).select("match_id", "base_probability", "stacked_probability", "calibrated_probability")
+
+
 @query("isotonic_calibration")
 def isotonic_calibration(v):
     rows = v.scored.withColumnRenamed("home_advance_probability", "stacked_probability")

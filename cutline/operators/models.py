@@ -1,6 +1,6 @@
 """Probability models on ``pyspark.ml``.
 
-Fits run on distributed frames; the driver holds only coefficients and per-column statistics.
+Fits run on distributed frames, all windows of a backtest in the same passes; the driver holds only coefficients and per-column statistics.
 """
 
 from __future__ import annotations
@@ -8,15 +8,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.functions import probability as P
+from cutline.operators.isotonic import isotonic_blocks, isotonic_values
+from cutline.operators.newton import Linear, Problem, newton
 
 MEDIAN_BRACKET_ROWS = 1_000_000
 MIN_TRAIN_ROWS = 64
@@ -110,19 +111,49 @@ class Scaling:
     mean: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Impute and standardise into ``features``; a column the frame lacks counts as missing."""
-        have = set(df.columns)
+    def standardised(self, have: set[str]) -> list[Column]:
+        """Imputed and standardised columns; a column that is not there counts as missing, an indicator is worked out from its column."""
         cols = []
         for c in self.columns:
-            raw = number(c) if c in have else F.lit(None).cast("double")
-            cols.append(((F.coalesce(raw, F.lit(self.median[c])) - self.mean[c]) / self.scale[c]).alias(f"_z_{c}"))
+            if c in have:
+                raw = number(c)
+            elif c.endswith("_isna"):
+                raw = number(c.removesuffix("_isna")).isNull().cast("double") if c.removesuffix("_isna") in have else F.lit(None).cast("double")
+            else:
+                raw = F.lit(None).cast("double")
+            cols.append((F.coalesce(raw, F.lit(self.median[c])) - self.mean[c]) / self.scale[c])
+        return cols
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Impute and standardise into ``features``; a column the frame lacks counts as missing."""
+        cols = [z.alias(f"_z_{c}") for z, c in zip(self.standardised(set(df.columns)), self.columns, strict=True)]
         keep = [c for c in df.columns if c != "features"]
         ready = df.select(*keep, *cols)
         out = VectorAssembler(inputCols=[f"_z_{c}" for c in self.columns], outputCol="features").transform(ready)
         return out.drop(*[f"_z_{c}" for c in self.columns])
 
 
+def fit_scalings(rows: DataFrame, columns: list[str], members: dict[str, Column]) -> dict[str, Scaling]:
+    """``fit_scaling`` of many windows in the passes of one: a window's rows are those where its condition holds."""
+    cells = {(w, c): f"m{i}_{j}" for i, w in enumerate(members) for j, c in enumerate(columns)}
+    wide = rows.select(*[F.when(members[w], number(c)).alias(a) for (w, c), a in cells.items() if not c.endswith("_isna")])
+    found = exact_medians(wide, wide.columns)
+    medians = {k: 0.0 if k[1].endswith("_isna") else found[a] for k, a in cells.items()}
+    kept = {k: a for k, a in cells.items() if medians[k] is not None}
+    filled = {k: F.when(members[k[0]], F.coalesce(number(k[1]), F.lit(float(medians[k])))) for k in kept}
+    asks = [e for k, a in kept.items() for e in (F.avg(filled[k]).alias(f"a{a}"), F.stddev_pop(filled[k]).alias(f"s{a}"))]
+    row = rows.agg(*asks).first().asDict() if asks else {}
+    out = {}
+    for w in members:
+        names = [c for c in columns if (w, c) in kept and row[f"a{kept[w, c]}"] is not None]
+        mean = {c: float(row[f"a{kept[w, c]}"]) for c in names}
+        spread = {c: float(row[f"s{kept[w, c]}"]) for c in names}
+        # a constant column keeps scale 1, also when rounding leaves a trace of variance
+        scale = {c: spread[c] if spread[c] > 1e-12 * max(1.0, abs(mean[c])) else 1.0 for c in names}
+        out[w] = Scaling(names, {c: float(medians[w, c]) for c in names}, mean, scale)
+    return out
+
+
 def fit_scaling(train: DataFrame, columns: list[str]) -> Scaling:
     """Exact median imputation, then mean and ddof-0 deviation of the imputed columns.
 
@@ -155,16 +186,6 @@ class LogisticConfig:
     missing_indicators: bool = True
 
 
-def _fit_logistic(df: DataFrame, label: str, C: float, max_iter: int, n: int, weight: str | None = None):
-    """L2 logistic with an unpenalised intercept: sum loss + |w|^2/(2C), as mean loss."""
-    lr = LogisticRegression(
-        featuresCol="features", labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-8, probabilityCol="_prob",
-        rawPredictionCol="_raw", predictionCol="_pred",
-    )
-    return (lr.setWeightCol(weight) if weight else lr).fit(df)
-
-
 def _p1(scored: DataFrame, out: str) -> DataFrame:
     return scored.withColumn(out, vector_to_array("_prob")[1]).drop("_prob", "_raw", "_pred", "features")
 
@@ -172,15 +193,17 @@ def _p1(scored: DataFrame, out: str) -> DataFrame:
 @dataclass
 class LogisticModel:
     scaling: Scaling
-    model: object
+    model: Linear
     columns: list[str]
     config: LogisticConfig
     train_rows: int
 
+    def probability(self, have: list[str]) -> Column:
+        """P(label) as a column of a frame with the columns ``have``."""
+        return self.model.probability(self.scaling.standardised(set(have)))
+
     def predict(self, df: DataFrame, out: str = "base_probability") -> DataFrame:
-        work = add_missing_indicators(df, [c for c in self.columns if c in df.columns]) if self.config.missing_indicators else df
-        extra = [c for c in work.columns if c not in df.columns]
-        return _p1(self.model.transform(self.scaling.apply(work)), out).drop(*extra)
+        return df.withColumn(out, self.probability(df.columns))
 
     def importance(self) -> list[tuple[str, float]]:
         """(feature, coefficient), largest absolute value first."""
@@ -188,24 +211,35 @@ class LogisticModel:
         return sorted(pairs, key=lambda x: -abs(x[1]))
 
 
-def fit_logistic(
-    train: DataFrame, columns: list[str], label: str = "home_advances", config: LogisticConfig | None = None
-) -> LogisticModel:
+def fit_logistics(
+    rows: DataFrame, columns: list[str], members: dict[str, Column], label: str = "home_advances", config: LogisticConfig | None = None
+) -> dict[str, LogisticModel]:
+    """A model for each window of a stored table, a window's rows being those where its condition holds: all windows are fitted in the same passes."""
     cfg = config or LogisticConfig()
-    work = train.withColumn("_y", F.col(label).cast("double"))
+    work = rows.withColumn("_y", F.col(label).cast("double"))
     cols = list(columns)
     if cfg.missing_indicators:
         work = add_missing_indicators(work, columns)
         cols += [f"{c}_isna" for c in columns if not c.endswith("_isna")]
-    counts = work.agg(F.count("_y").alias("n"), F.sum("_y").alias("k")).first()
-    n, k = int(counts["n"]), float(counts["k"] or 0.0)
-    weight = None
-    if cfg.balanced:
-        work = work.withColumn("_wt", F.when(F.col("_y") == 1.0, n / (2.0 * k)).otherwise(n / (2.0 * (n - k))))
-        weight = "_wt"
-    scaling = fit_scaling(work, cols)
-    model = _fit_logistic(scaling.apply(work), "_y", cfg.C, cfg.max_iter, n, weight)
-    return LogisticModel(scaling, model, list(columns), cfg, n)
+    asks = [e for i, m in enumerate(members.values()) for e in (F.count(F.when(m, F.col("_y"))).alias(f"n{i}"), F.sum(F.when(m, F.col("_y"))).alias(f"k{i}"))]
+    counts = work.agg(*asks).first()
+    scalings = fit_scalings(work, cols, members)
+    problems, size = {}, {}
+    for i, (w, member) in enumerate(members.items()):
+        n, k = int(counts[f"n{i}"]), float(counts[f"k{i}"] or 0.0)
+        weight = F.lit(1.0)
+        if cfg.balanced and 0 < k < n:
+            weight = F.when(F.col("_y") == 1.0, n / (2.0 * k)).otherwise(n / (2.0 * (n - k)))
+        problems[w], size[w] = Problem(member, scalings[w].standardised(set(work.columns)), F.col("_y"), weight, cfg.C), n
+    fits = newton(work, problems, steps=cfg.max_iter)
+    return {w: LogisticModel(scalings[w], fits[w], list(columns), cfg, size[w]) for w in members}
+
+
+def fit_logistic(
+    train: DataFrame, columns: list[str], label: str = "home_advances", config: LogisticConfig | None = None
+) -> LogisticModel:
+    """L2 logistic with an unpenalised intercept: sum of losses + |w|^2 / (2 C)."""
+    return fit_logistics(train, columns, {"": F.lit(True)}, label, config)[""]
 
 
 # -- boosted trees ---------------------------------------------------------------------------
@@ -303,59 +337,55 @@ class Stacker:
     def predict(self, df: DataFrame, out: str = "stacked_probability") -> DataFrame:
         if self.method == "weighted_blend":
             return df.withColumn(out, P.weighted_blend(filled_market(), "elo_probability", "base_probability", self.weights))
-        return _p1(self.model.transform(_stack_features(df)), out).drop("_m")
+        return df.withColumn(out, self.probability())
 
+    def probability(self) -> Column:
+        return self.model.probability(_stack_features())
 
-def _stack_features(df: DataFrame) -> DataFrame:
-    ready = df.withColumn("_m", filled_market())
-    return VectorAssembler(inputCols=["_m", *STACK_INPUTS[1:]], outputCol="features").transform(ready)
 
+def _stack_features() -> list[Column]:
+    return [filled_market(), *(F.col(c) for c in STACK_INPUTS[1:])]
 
-def fit_stacker(df: DataFrame, label: str = "home_advances", method: str = "logistic", C: float = 1.0,
-                max_iter: int = 1000, weights=(0.5, 0.1, 0.4)) -> Stacker:
-    """Combine market, rating and base probabilities; a null market is the mean of the others."""
+
+def fit_stackers(df: DataFrame, members: dict[str, Column], label: str = "home_advances", method: str = "logistic", C: float = 1.0,
+                 max_iter: int = 1000, weights=(0.5, 0.1, 0.4)) -> dict[str, Stacker]:
+    """A stacker for each window: market, rating and base probabilities combined; a null market is the mean of the others."""
     if method == "weighted_blend":
-        return Stacker(method, None, tuple(weights))
+        return {w: Stacker(method, None, tuple(weights)) for w in members}
     if method != "logistic":
         raise ValueError(f"Unknown stacking method: {method}")
-    work = df.withColumn("_y", F.col(label).cast("double"))
-    n = work.count()
-    return Stacker(method, _fit_logistic(_stack_features(work), "_y", C, max_iter, n))
+    y, x = F.col(label).cast("double"), _stack_features()
+    fits = newton(df, {w: Problem(m, x, y, F.lit(1.0), C) for w, m in members.items()}, steps=max_iter)
+    return {w: Stacker(method, fits[w]) for w in members}
+
+
+def fit_stacker(df: DataFrame, label: str = "home_advances", method: str = "logistic", C: float = 1.0,
+                max_iter: int = 1000, weights=(0.5, 0.1, 0.4)) -> Stacker:
+    return fit_stackers(df, {"": F.lit(True)}, label, method, C, max_iter, weights)[""]
 
 
 @dataclass
 class Calibrator:
+    """One map of probabilities, or one for each value of ``keys``: an isotonic fit is a table of blocks."""
+
     method: str
     model: object
+    keys: tuple[str, ...] = ()
 
     def predict(self, df: DataFrame, p: str = "stacked_probability", out: str = "calibrated_probability") -> DataFrame:
         if self.method == "isotonic":
-            scored = self.model.transform(df.withColumn("_x", F.col(p)))
-            return scored.withColumn(out, P.clip("_iso")).drop("_iso", "_x")
-        scored = _p1(self.model.transform(_logit_features(df, p)), "_c")
-        return scored.withColumn(out, P.clip("_c")).drop("_c", "_l")
-
-
-def _logit_features(df: DataFrame, p: str) -> DataFrame:
-    return VectorAssembler(inputCols=["_l"], outputCol="features").transform(df.withColumn("_l", P.logit(p)))
+            return isotonic_values(df, self.model, list(self.keys), p, "_iso").withColumn(out, P.clip("_iso")).drop("_iso")
+        return df.withColumn(out, P.clip(self.model.probability([P.logit(p)])))
 
 
 def fit_calibrator(df: DataFrame, p: str = "stacked_probability", label: str = "home_advances",
-                   method: str = "isotonic", C: float = 1.0, max_iter: int = 1000) -> Calibrator:
-    """Isotonic (clipped outside the fitted range) or Platt calibration.
-
-    Equal probabilities are pooled first: the isotonic fit depends on them only through their
-    mean and weight.
-    """
-    work = df.select(F.col(p).alias(p), F.col(label).cast("double").alias("_y"))
+                   method: str = "isotonic", C: float = 1.0, max_iter: int = 1000, keys: tuple[str, ...] = ()) -> Calibrator:
+    """Isotonic (clipped outside the fitted range; one for each value of ``keys``) or Platt calibration."""
     if method == "isotonic":
-        pooled = work.groupBy(F.col(p).alias("_x")).agg(
-            F.avg("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-        )
-        iso = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_iso")
-        return Calibrator(method, iso.fit(pooled))
+        return Calibrator(method, isotonic_blocks(df, list(keys), p, label), tuple(keys))
     if method == "platt":
-        return Calibrator(method, _fit_logistic(_logit_features(work, p), "_y", C, max_iter, work.count()))
+        y = F.col(label).cast("double")
+        return Calibrator(method, newton(df, {"": Problem(F.lit(True), [P.logit(p)], y, F.lit(1.0), C)}, steps=max_iter)[""])
     raise ValueError(f"Unknown calibration method: {method}")
 
 
