@@ -166,20 +166,27 @@ def _pairs(key: tuple, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame({"shard": [shard["shard"].iloc[0]], "seq": [_packed(seq)], "words": [_packed(word)], "first": [_packed(one[of])], "second": [_packed(second)], "n": [_packed(count)]})
 
 
+def _keys(longest: int) -> list[str]:
+    """Columns of a phrase on its way: two ids in each."""
+    return [f"k{i}" for i in range((longest + 1) // 2)]
+
+
 def _longer(longest: int):
     def run(key: tuple, shard: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        names = [f"w{i + 1}" for i in range(longest)]
+        names = _keys(longest)
         if not len(pairs) or not len(shard):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in [*names, "c"]})
         seq, words = _unpacked(shard["seq"].iloc[0]), _unpacked(shard["words"].iloc[0])
         back = np.argsort(words)
-        phrases = [back[np.searchsorted(words, pairs[c].to_numpy(), sorter=back)] + 1 for c in ("w1", "w2")]
+        key = pairs["key"].to_numpy()
+        phrases = [back[np.searchsorted(words, w, sorter=back)] + 1 for w in (key >> 32, key & 0xFFFFFFFF)]
         depth = 1 << (longest - 1).bit_length()
         forward, backward = Index(seq, depth), Index(seq[::-1], depth)
         out = []
         for _ in range(longest - 2):
             phrases, count = grown(forward, backward, phrases)
-            out.append(np.stack([words[p - 1] for p in phrases] + [np.zeros(len(count), np.int64)] * (longest - len(phrases)) + [count], 1))
+            ids = [words[p - 1] for p in phrases] + [np.zeros(len(count), np.int64)] * (2 * len(names) - len(phrases))
+            out.append(np.stack([*(a << 32 | b for a, b in zip(ids[::2], ids[1::2], strict=True)), count], 1))
         return pd.DataFrame(np.concatenate(out), columns=[*names, "c"])
 
     return run
@@ -189,14 +196,14 @@ def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for shard, words, first, second, n in zip(*(pdf[c] for c in ("shard", "words", "first", "second", "n")), strict=True):
             w = _unpacked(words)
-            yield pd.DataFrame({"shard": shard, "w1": w[_unpacked(first) - 1], "w2": w[_unpacked(second) - 1], "c": _unpacked(n)})
+            yield pd.DataFrame({"shard": shard, "key": w[_unpacked(first) - 1] << 32 | w[_unpacked(second) - 1], "c": _unpacked(n)})
 
 
 # -- counts over all shards ------------------------------------------------------------------
 
 def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, totals): words (lang, word, id, c) and phrases (w1 .. of word ids, 0 behind the last; c) of ``least`` occurrences or
-    more; words of each language (lang, n). Pairs always, longer phrases up to ``longest``.
+    more; words of each language (lang, n). Pairs always, longer phrases up to ``longest``. Ids of frequent words must stay below 2^31.
 
     Texts are read once and never shuffled; compressed ids are, twice. A word or phrase is one row per shard, so that the most frequent ones weigh
     no more than others.
@@ -214,6 +221,8 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: i
     for row in words.groupBy(part.alias("p")).count().orderBy("p").collect():
         offsets.append((row["p"], ends))
         ends += row["count"]
+    if ends >= 1 << 31:
+        raise ValueError("more frequent words than two ids of a key can tell apart")
     start = docs.sparkSession.createDataFrame(offsets, "p long, start long")
     words = words.withColumn("p", part).join(start, "p").select("lang", "word", (F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1) + 1).alias("id"), "c")
     words = stored(words, "ids")
@@ -223,18 +232,18 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: i
         "shard long, seq binary, words binary, first binary, second binary, n binary",
     )
     index = stored(index, "index")
-    pairs = index.select("shard", "words", "first", "second", "n").mapInPandas(_exploded, "shard long, w1 int, w2 int, c int")
+    pairs = index.select("shard", "words", "first", "second", "n").mapInPandas(_exploded, "shard long, key long, c int")
     # One row per shard and pair, so a window costs one shuffle and no pair is hot.
-    pairs = stored(pairs.withColumn("total", F.sum("c").over(Window.partitionBy("w1", "w2"))).where(F.col("total") >= least), "pairs")
-    rest = [F.lit(0).cast("long").alias(f"w{i}") for i in range(3, longest + 1)]
-    phrases = pairs.select(F.col("w1").cast("long"), F.col("w2").cast("long"), *rest, F.col("total").alias("c")).distinct()
+    pairs = stored(pairs.withColumn("total", F.sum("c").over(Window.partitionBy("key"))).where(F.col("total") >= least).select("shard", "key", "total"), "pairs")
+    names = _keys(longest)
+    phrases = pairs.groupBy("key").agg(F.first("total").alias("c")).select(F.col("key").alias("k0"), *[F.lit(0).cast("long").alias(k) for k in names[1:]], "c")
     if longest > 2:
-        names = [f"w{i + 1}" for i in range(longest)]
-        more = index.select("shard", "seq", "words").groupBy("shard").cogroup(pairs.select(F.col("shard").alias("of"), "w1", "w2").groupBy("of")).applyInPandas(
+        more = index.select("shard", "seq", "words").groupBy("shard").cogroup(pairs.select(F.col("shard").alias("of"), "key").groupBy("of")).applyInPandas(
             _longer(longest), ", ".join(f"{c} long" for c in [*names, "c"])
         )
         phrases = phrases.unionByName(more.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= least))
-    return words, stored(phrases, "phrases"), totals
+    halves = [h for k in names for h in (F.shiftright(k, 32), F.col(k).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return words, stored(phrases.select(*[h.alias(f"w{i + 1}") for i, h in enumerate(halves[:longest])], "c"), "phrases"), totals
 
 
 def _span(first: int, length: int, longest: int) -> list:
