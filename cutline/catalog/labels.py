@@ -343,3 +343,52 @@ def content_integrity(v):
         "path", F.when(F.col("doc_id") % 10 == 1, F.lit("0")).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("raw_sha256")
     )
     return Q.content_integrity(Q.content_hashes(files), recorded)
+
+
+@query(
+    "provider_isolation",
+    """WITH p AS (SELECT match_id, home_goals_90 AS home_goals, away_goals_90 AS away_goals, match_id % 7 = 3 AS torn FROM duels)
+    SELECT 'whole' AS provider, 'read' AS reason, count(*) AS n, CAST(sum(home_goals) AS BIGINT) AS home_goals FROM p
+    UNION ALL SELECT 'broken', 'provider_fetch_failed', 1, NULL
+    UNION ALL SELECT 'torn', 'read', count(*), CAST(sum(home_goals) AS BIGINT) FROM p WHERE NOT torn
+    UNION ALL SELECT 'torn', 'document_unparsable', count(*), NULL FROM p WHERE torn""",
+    ("duels",),
+)
+def provider_isolation(v):
+    """Three providers of the same matches: one fails while its last rows are read, one has torn documents."""
+    from cutline.operators import manifest as X
+
+    json = F.to_json(F.struct("match_id", F.col("home_goals_90").alias("home_goals"), F.col("away_goals_90").alias("away_goals")))
+    docs = v.duels.select("match_id", json.alias("raw"))
+    fails = F.when(F.col("match_id") % 11 == 5, F.raise_error(F.lit("unreadable")).cast("string")).otherwise(F.col("raw"))
+    torn = F.when(F.col("match_id") % 7 == 3, F.expr("substring(raw, 1, length(raw) - 4)")).otherwise(F.col("raw"))
+    rows, failures = X.stored_providers(
+        [("whole", lambda: docs.select("raw")), ("broken", lambda: docs.select(fails.alias("raw"))), ("torn", lambda: docs.select(torn.alias("raw")))], v.spark
+    )
+    read, bad = X.parsed_documents(rows, "match_id long, home_goals long, away_goals long")
+    none = F.lit(None).cast("long").alias("home_goals")
+    count = F.count("*").alias("n")
+    return (
+        read.groupBy("provider").agg(count, F.sum("home_goals").alias("home_goals")).select("provider", F.lit("read").alias("reason"), "n", "home_goals")
+        .unionByName(bad.unionByName(failures, allowMissingColumns=True).groupBy("provider", "reason").agg(count).withColumn("home_goals", none))
+    )
+
+
+@query(
+    "file_hashes",
+    """SELECT o_orderkey % 8 AS part, sha256(string_agg(o_orderkey || '|' || o_orderpriority || chr(10), '' ORDER BY o_orderkey)) AS actual_sha256 FROM orders GROUP BY 1""",
+)
+def file_hashes(v):
+    """Hashes of written files, read in pieces of 4 KB."""
+    import uuid
+
+    from cutline.operators import quality as Q
+    from cutline.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(v.spark)}/files-{uuid.uuid4().hex}"
+    line = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value")
+    rows = v.table("orders").select("o_orderkey", line, (F.col("o_orderkey") % 8).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").select("value", "part").write.partitionBy("part").text(path)
+    names = v.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path")
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")
+    return Q.file_hashes(names, 4096).select(part, "actual_sha256")

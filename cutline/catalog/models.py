@@ -143,7 +143,7 @@ def select_base_learner(v):
     return v.spark.createDataFrame(rows, "fold string, n_train long, n_validation long, learner string, reason string")
 
 
-OOF_SQL = f"""{V1_SQL}, l AS (SELECT v1.*, kickoff_at AS k FROM v1 JOIN (SELECT match_id, home_advances FROM results) USING (match_id)),
+OOF_SQL = f"""{V1_SQL}, l AS (SELECT match_id, t.kickoff_at AS k FROM v1 JOIN results AS t USING (match_id)),
   r AS (SELECT *, row_number() OVER (ORDER BY k) AS pos, count(*) OVER () AS n FROM l),
   c AS (SELECT DISTINCT r.k AS cut FROM r, range(1, 6) AS js(j) WHERE pos = (n * j + 5) // 6 + 1 AND r.k > (SELECT min(k) FROM r)),
   b AS (SELECT match_id, k, (SELECT count(*) FROM c WHERE cut <= k) AS block FROM l)"""

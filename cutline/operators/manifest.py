@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.functions.stages import (
@@ -13,6 +13,7 @@ from cutline.functions.stages import (
 )
 from cutline.operators.labels import advancer
 from cutline.operators.skew import SALTS, pick_row, salted_join
+from cutline.plans.store import materialize
 
 EXPECTED_PER_EDITION = 15
 THIRD_PLACE = "third_place_no_downstream_bracket"
@@ -136,6 +137,9 @@ def duplicate_keys(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+FETCH_FAILED, UNPARSABLE = "provider_fetch_failed", "document_unparsable"
+
+
 def provider_rows(providers: list[tuple[str, object]]) -> tuple[DataFrame | None, list[tuple[str, str, str]]]:
     """Union the tables of all providers; one that fails is reported, the others go on.
 
@@ -148,10 +152,36 @@ def provider_rows(providers: list[tuple[str, object]]) -> tuple[DataFrame | None
             part = fetch().withColumns({"provider": F.lit(name), "provider_rank": F.lit(rank)})
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         except Exception as exc:  # a provider may fail in any way
-            failures.append((name, "provider_fetch_failed", str(exc).split("\n", 1)[0]))
+            failures.append((name, FETCH_FAILED, str(exc).split("\n", 1)[0]))
     return out, failures
 
 
+def stored_providers(providers: list[tuple[str, object]], spark: SparkSession) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, failures): every provider is read to its end and its rows are written, so that a failure that only shows while rows are read, such
+    as an unreadable file, is reported too. Failures are rows (provider, reason, detail); the other providers stay whole.
+    """
+    out, failures = None, []
+    for rank, (name, fetch) in enumerate(providers):
+        try:
+            part = materialize(fetch(), "provider").withColumns({"provider": F.lit(name), "provider_rank": F.lit(rank)})
+        except Exception as exc:  # a provider may fail in any way
+            failures.append((name, FETCH_FAILED, str(exc).split("\n", 1)[0]))
+            continue
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, spark.createDataFrame(failures, "provider string, reason string, detail string")
+
+
+def parsed_documents(documents: DataFrame, schema: str, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of JSON documents, one per row: a document that is null, no JSON or of other types goes to quarantine
+    with a reason, and the rest of its provider's documents stay."""
+    kinds = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    d = documents.withColumn("_d", F.from_json(raw, f"{schema}, _corrupt string", kinds))
+    bad = F.col("_d").isNull() | F.col("_d._corrupt").isNotNull()
+    others = [c for c in documents.columns if c != raw]
+    rows = d.where(~bad).select(*others, "_d.*").drop("_corrupt")
+    return rows, d.where(bad).select(*others, F.lit(UNPARSABLE).alias("reason"), F.substring(raw, 1, 200).alias("detail"))
+
+
 def reconcile_tournament(matches: DataFrame) -> DataFrame:
     """Report variant: advancer by penalties, winner, full time; ``exclusion`` names the reason.
 

@@ -190,3 +190,42 @@ def test_gate_fails_and_raises_when_strict(table):
     assert Q.gate_verdict(checks).first().asDict() == {"passed": False, "n_checks": 5, "n_failed": 2}
     with pytest.raises(Exception, match="data gate failed"):
         Q.gate_verdict(checks, strict=True).collect()
+
+
+def test_a_provider_that_fails_while_it_is_read_leaves_the_others_whole(spark):
+    from cutline.operators import manifest as X
+
+    docs = spark.createDataFrame([(1, '{"m": 1, "g": 2}'), (2, '{"m": 2, "g"'), (3, None), (4, '{"m": "x"}'), (5, "{}"), (6, '{"m": 6, "g": 0, "more": 1}')], "id int, raw string")
+    late = docs.withColumn("raw", F.when(F.col("id") == 6, F.raise_error(F.lit("torn file")).cast("string")).otherwise(F.col("raw")))
+
+    def absent():
+        return spark.read.parquet("/no/such/provider")
+
+    rows, failures = X.stored_providers([("a", lambda: docs), ("late", lambda: late), ("absent", absent), ("b", lambda: docs.limit(1))], spark)
+    assert sorted((r["provider"], r["reason"]) for r in failures.collect()) == [("absent", "provider_fetch_failed"), ("late", "provider_fetch_failed")]
+    good, bad = X.parsed_documents(rows, "m long, g long")
+    assert sorted((r["provider"], r["id"], r["m"], r["g"]) for r in good.collect() if r["id"] != 5) == [("a", 1, 1, 2), ("a", 6, 6, 0), ("b", 1, 1, 2)]
+    assert sorted((r["id"], r["reason"]) for r in bad.collect()) == [(2, "document_unparsable"), (3, "document_unparsable"), (4, "document_unparsable")]
+
+
+def test_no_provider_at_all(spark):
+    from cutline.operators import manifest as X
+
+    rows, failures = X.stored_providers([], spark)
+    assert rows is None and failures.count() == 0
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path):
+    import hashlib
+
+    from cutline.operators.quality import content_integrity, file_hashes
+
+    data = {"empty": b"", "small": b"abc", "large": bytes(range(256)) * 5000, "even": b"x" * 4096}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in [*data, "gone"]], "path string")
+    got = {r["path"].rsplit("/", 1)[1]: r["actual_sha256"] for r in file_hashes(paths, 1024).collect()}
+    assert got == {n: hashlib.sha256(b).hexdigest() for n, b in data.items()} | {"gone": None}
+    recorded = paths.withColumn("raw_sha256", F.lit(hashlib.sha256(b"abc").hexdigest()))
+    ok = {r["path"].rsplit("/", 1)[1]: (r["ok"], r["detail"]) for r in content_integrity(file_hashes(paths, 1024), recorded).collect()}
+    assert ok["small"] == (True, "") and ok["gone"] == (False, "file missing") and ok["large"][1] == "hash differs"
