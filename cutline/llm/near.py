@@ -8,6 +8,7 @@ with probability below 1e-7. Every other pair that can still join two components
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import fresh, pieces, stored
+from cutline.llm.common import fresh, stored
 from cutline.llm.graph import components
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
@@ -26,12 +27,25 @@ FAR = 60
 #: Rounds in which each node is measured against one leader; what is left is measured pair by pair.
 LEADERS = 4
 SIGN = ("s0", "s1", "s2", "s3")
-CHUNK = 8192  # shingles that meet the hash functions at once
+CHUNK = 256  # shingles that meet the hash functions at once
+#: Bytes of a text that are hashed at once. Longer words are hashed one by one.
+BLOCK = 1 << 16
 
 _rng = np.random.default_rng(29)
 _PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
-_TIMES = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
-_PLUS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64)
+_TIMES = _rng.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_PLUS = _rng.integers(1, 1 << 32, BANDS * ROWS, np.uint32)
+_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
+_GAPS = b"\x20\x09\x0a\x0b\x0c\x0d"
+_INSIDE = np.ones(256, bool)
+_INSIDE[list(_GAPS)] = False
+_BYTE[list(_GAPS)] = 0
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_BASE = int(_PLACE[0])
+_POWER = np.full(BLOCK + 1, _BASE, np.uint64)
+_BACK = np.full(BLOCK + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+_POWER[0] = _BACK[0] = 1
+_POWER, _BACK = np.multiply.accumulate(_POWER), np.multiply.accumulate(_BACK)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -40,18 +54,48 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _block_words(block: bytes) -> np.ndarray:
+    """Hashes of a block's words: polynomials of their bytes, summed from one start of a word to the next."""
+    b = np.frombuffer(block, np.uint8)
+    inside = np.zeros(len(b) + 1, bool)
+    inside[1:] = _INSIDE[b]
+    start = np.flatnonzero(inside[1:] > inside[:-1])
+    return _mixed(np.add.reduceat(_BYTE[b] * _POWER[: len(b)], start) * _BACK[start]) if len(start) else np.zeros(0, np.uint64)
+
+
+def _words(data: bytes) -> np.ndarray:
+    """Hashes of a whole text's words in order; what a word's hash is depends on the word alone."""
+    parts, at = [], 0
+    while at < len(data):
+        if len(data) - at <= BLOCK:
+            end = len(data)
+        elif (end := max(data.rfind(c, at, at + BLOCK + 1) for c in _GAPS)) <= at:
+            word = _WORD.search(data, at)
+            if word is None:
+                break
+            at = word.end()
+            if len(word[0]) > BLOCK:
+                parts.append(np.array([xxhash.xxh64_intdigest(word[0], SEED)], np.uint64))
+            else:
+                parts.append(_block_words(word[0]))
+            continue
+        parts.append(_block_words(data[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a whole text's shingles; one for a text of fewer words, none without words."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    digest = xxhash.xxh64_intdigest
-    w = np.array([digest(word, SEED) for piece in pieces(data) for word in piece], np.uint64)
+    w = _words((text or "").encode("utf-8", "surrogatepass").lower())
     if not len(w):
         return w
     size = min(size, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for j in range(size):
         h += w[j : len(w) - size + 1 + j] * _PLACE[j]
-    return np.unique(_mixed(h))
+    h = _mixed(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -59,10 +103,11 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _minima(s: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), CHUNK):
-        low = np.minimum(low, (s[at : at + CHUNK, None] * _TIMES + _PLUS).min(0))
-    return low
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    h = (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(h), CHUNK):
+        low = np.minimum(low, (h[at : at + CHUNK, None] * _TIMES + _PLUS).min(0))
+    return low.astype(np.uint64)
 
 
 def _bands(low: np.ndarray) -> np.ndarray:
