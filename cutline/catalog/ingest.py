@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cutline.catalog.registry import Registry
 from cutline.operators import aliases as A
 from cutline.operators import ingest as I
+from cutline.plans.upsert import read_parts, upsert_parts
+from cutline.session import checkpoint_dir
+from cutline.streaming.keyed import append_stream
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -72,6 +77,26 @@ def upsert_matches(v):
     return I.upsert_matches(stored, _batch(v), ["ord"])
 
 
+@query(
+    "upsert_matches_parts",
+    f"""WITH {UPS}, f AS (SELECT match_id, arg_min((kickoff_at, home_team_id, away_team_id), ord) AS f, arg_max((stage, home_goals_90), ord) AS m FROM batch GROUP BY 1)
+    SELECT match_id, coalesce(s.kickoff_at, f.f[1]) AS kickoff_at, coalesce(s.home_team_id, f.f[2]) AS home_team_id, coalesce(s.away_team_id, f.f[3]) AS away_team_id,
+      CASE WHEN f.m IS NULL THEN s.stage ELSE f.m[1] END AS stage, CASE WHEN f.m IS NULL THEN s.home_goals_90 ELSE f.m[2] END AS home_goals_90
+    FROM stored s FULL JOIN f USING (match_id)""",
+    ("duels",),
+)
+def upsert_matches_parts(v):
+    """The same upsert on a stored table: once to fill it, once to bring the batch in."""
+    stored = v.duels.filter(F.col("match_id") % 2 == 0).select(
+        "match_id", "kickoff_at", "home_team_id", "away_team_id", "stage", "home_goals_90"
+    )
+    path = f"{checkpoint_dir(v.spark)}/matches-{uuid.uuid4().hex}"
+    merge = lambda table, batch: I.upsert_matches(table, batch, ["ord"])
+    for batch in (stored.withColumn("ord", F.col("match_id")), _batch(v)):
+        upsert_parts(path, batch, merge, stored.schema, parts=16)
+    return read_parts(v.spark, path, stored.schema, 16)
+
+
 @query(
     "upsert_results",
     """WITH batch AS (SELECT match_id, NOT home_advances AS home_advances, match_id * 2 + n AS ord, n FROM results, (VALUES (0), (1)) t(n) WHERE match_id % 3 <> 0)
@@ -114,6 +139,19 @@ def append_odds_dedup(v):
     )
 
 
+@query("append_odds_stream", f"SELECT DISTINCT raw_payload_hash, match_id FROM ({HASHED})", ("quotes",))
+def append_odds_stream(v):
+    """All quotes as a stream, their hashes known from state."""
+    base = f"{checkpoint_dir(v.spark)}/quotes-{uuid.uuid4().hex}"
+    quotes = _hashed(v).select("raw_payload_hash", "match_id")
+    quotes.write.parquet(f"{base}/in")
+    fresh = append_stream(v.spark.readStream.schema(quotes.schema).parquet(f"{base}/in"))
+    sink = fresh.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+    run = sink.trigger(availableNow=True).start()
+    run.awaitTermination()
+    return v.spark.read.schema(quotes.schema).parquet(f"{base}/out")
+
+
 @query(
     "append_availability_dedup",
     """WITH a AS (SELECT *, team_id || '/' || role || '/' || (match_id // 20) AS h FROM availability)
