@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cutline.catalog.registry import Registry
 from cutline.operators import aliases as A
 from cutline.operators import ingest as I
+from cutline.plans.snapshots import extend_snapshots
 from cutline.plans.upsert import read_parts, upsert_parts
 from cutline.session import checkpoint_dir
 from cutline.streaming.keyed import append_stream
@@ -224,3 +225,21 @@ def stable_hash(v):
 def missing_snapshots(v):
     asked = v.spine.withColumn("feature_version", F.lit("v1"))
     return I.missing_snapshots(asked, asked.filter(F.col("stage") == "Final"))
+
+
+@query(
+    "extend_snapshots",
+    """SELECT match_id, cutoff_time, 'v1' AS feature_version, '{"days":' || date_diff('day', DATE '1990-01-01', CAST(cutoff_time AS DATE)) || '}' AS features_json FROM spine""",
+    ("spine",),
+)
+def extend_snapshots_twice(v):
+    """A stored table of snapshots: finals first, then all, of which only the others are built."""
+    path = f"{checkpoint_dir(v.spark)}/snapshots-{uuid.uuid4().hex}"
+
+    def build(spine):
+        days = F.date_diff(F.to_date("cutoff_time"), F.lit("1990-01-01").cast("date"))
+        return spine.withColumns({"days": days, "source_data_max_timestamp": F.col("cutoff_time")})
+
+    asked = v.spine.select("match_id", "cutoff_time", "stage")
+    extend_snapshots(path, asked.where(F.col("stage") == "Final"), build, "v1", ["days"])
+    return extend_snapshots(path, asked, build, "v1", ["days"]).select("match_id", "cutoff_time", "feature_version", "features_json")

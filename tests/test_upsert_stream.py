@@ -4,9 +4,11 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from cutline.operators import ingest as I
+from cutline.plans.snapshots import extend_snapshots
 from cutline.plans.upsert import read_parts, upsert_parts
 from cutline.streaming.keyed import append_stream
 
@@ -87,3 +89,25 @@ def test_stream_with_state_however_it_is_cut(spark, tmp_path):
     assert run(spark, [a + b], str(tmp_path / "one"), ["v"]) == want
     assert run(spark, [a, a, b], str(tmp_path / "again"), ["v"]) == want
     assert run(spark, [a, b, a], str(tmp_path / "any")) in ([("a", x), ("b", 2), ("c", y)] for x in (0, 1) for y in (3, 4))
+
+
+def test_snapshots_are_built_once(table, tmp_path):
+    path, schema, seen = str(tmp_path / "snapshots"), "match_id string, cutoff_time timestamp", []
+
+    def build(spine):
+        seen.append(sorted(r["match_id"] for r in spine.collect()))
+        return spine.withColumns({"f": F.lit(1.5), "source_data_max_timestamp": F.col("cutoff_time")})
+
+    def ask(rows, version="v1"):
+        got = extend_snapshots(path, table(rows, schema), build, version, ["f"]).collect()
+        return sorted((r["match_id"], r["immutable_hash"]) for r in got)
+
+    assert ask([]) == [] and seen == []
+    one = ask([("m1", "2020-01-01"), ("m1", "2020-01-01"), (None, "2020-01-01"), ("m9", None)])
+    before = files(path)
+    both = ask([("m1", "2020-01-01"), ("m2", "2020-01-02")])
+    after = files(path)
+    assert seen == [["m1"], ["m2"]] and one[0] in both and len(both) == 2
+    assert all(after[n] == before[n] for n in before) and len(after) == len(before) + 1
+    assert ask([("m2", "2020-01-02")]) == both[1:] and len(seen) == 2
+    assert len(ask([("m1", "2020-01-01")], "v2")) == 1 and seen[2:] == [["m1"]]
