@@ -114,3 +114,21 @@ def test_pick_row_first_and_last(table):
     df = table([("a", 1, None), ("a", 2, "y"), ("b", 5, "z")], "k string, o int, v string")
     assert sorted(map(tuple, pick_row(df, ["k"], [F.col("o")]).collect())) == [("a", 2, "y"), ("b", 5, "z")]
     assert sorted(map(tuple, pick_row(df, ["k"], [F.col("o")], last=False).collect())) == [("a", 1, None), ("b", 5, "z")]
+
+
+def test_history_is_read_and_shuffled_once(spark, tmp_path):
+    """Rows inside a slice and what earlier slices carry come from one pass over the history."""
+    rows = spark.range(2000).select(
+        F.concat(F.lit("t"), F.col("id") % 5).alias("team"), F.timestamp_seconds(F.col("id") * 86400).alias("at"), F.col("id").cast("double").alias("x"),
+    )
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            passes.add(len(pdf))
+            yield pdf
+
+    seen = rows.mapInPandas(counted, rows.schema)
+    got = pit_lookup([(seen, "at", {"last": Latest(F.col("x")), "sum": Total(F.col("x"))})], rows.select("team", F.col("at").alias("cut")), keys=["team"], at="cut")
+    got.write.parquet(str(tmp_path / "out"))
+    assert passes.value == 2000 and spark.read.parquet(str(tmp_path / "out")).where("last is not null").count() == 1995
