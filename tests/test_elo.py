@@ -165,3 +165,11 @@ def test_no_task_holds_more_than_a_slice(spark):
 def test_empty_history(table):
     df = table([(1, DAY[0], "a", "b", None, None, True, None)], SCHEMA)
     assert E.elo_ratings(df).count() == 0
+
+
+def test_each_slice_is_scanned_by_its_own_task(season):
+    """Slices that share a partition, by hash or because small ones are merged, would be scanned one after the other."""
+    rows = E.elo_input(season, E.EloConfig())
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("match_key"), F.lit(9)).cast("int"))
+    placed = E._scanned(rows, E.EloConfig(), 9).select("slice", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(placed) == len({r["slice"] for r in placed}) == len({r["task"] for r in placed}) == 9
