@@ -83,3 +83,11 @@ def test_v1_sign_flips_when_sides_swap(table):
     for c in ("elo_difference", "form_difference", "goal_diff_difference", "rest_days_difference"):
         assert ab[c] == pytest.approx(-ba[c], abs=1e-12)
     assert ab["elo_difference"] != 0 and math.isclose(ab["elo_home_win_prob"] + ba["elo_home_win_prob"], 1)
+
+
+def test_v1_fetches_one_row_a_side_from_chunks_of_ranks(spark, monkeypatch):
+    """The last rows of a chunk reach into the next; nothing is repeated, and each rank sees exactly its n newest rows."""
+    monkeypatch.setattr(O, "CHUNK", 8)
+    rows = spark.range(60).select(F.lit("a").alias("team_id"), F.timestamp_seconds(F.col("id") * 86400).alias("kickoff_at"), (F.col("id") + 1).alias("rank"))
+    got = {r["rank"]: r["past"] for r in O.last_ranks(rows, "rank", 5, {"past": F.collect_list("rank")}).collect()}
+    assert got == {k: list(range(max(1, k - 4), k + 1)) for k in range(1, 61)}
