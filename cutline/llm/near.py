@@ -3,7 +3,9 @@
 A text is the set of its 5-word shingles; equal sets are one node. Candidates share one of 32 bands of four minima; a pair of
 similarity 0.8 shares none with probability (1 - 0.8^4)^32 = 5e-8, a closer pair with less. Two bits of each of the 128 minima go with a
 node: pairs that differ in more than ``FAR`` of the 256 bits are left out inside the join, which a pair of similarity 0.8 does
-with probability below 1e-7. Every other pair that can still join two components is measured on the whole sets, so no pair below the threshold is linked.
+with probability below 1e-7. A node also carries the parities of its shingles' counts in 1,024 hash classes: each shingle that only one of
+two sets has flips one of them, so parities that differ in more places than the sets may differ rule a pair out for certain. Every other pair
+that can still join two components is measured on the whole sets, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ FAR = 60
 #: Rounds in which each node is measured against one leader; what is left is measured pair by pair.
 LEADERS = 4
 SIGN = ("s0", "s1", "s2", "s3")
+#: Hash classes of shingles whose parities a node carries, and deviations above the mean that long sets' parities may differ by.
+CLASSES, SIGMAS = 1024, 7.0
 CHUNK = 256  # shingles that meet the hash functions at once
 #: Bytes of a text that are hashed at once. Longer words are hashed one by one.
 BLOCK = 1 << 16
@@ -84,9 +88,16 @@ def _words(data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def _text_words(text: str | None) -> np.ndarray:
+    return _words((text or "").encode("utf-8", "surrogatepass").lower())
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a whole text's shingles; one for a text of fewer words, none without words."""
-    w = _words((text or "").encode("utf-8", "surrogatepass").lower())
+    return _shingled(_text_words(text), size)
+
+
+def _shingled(w: np.ndarray, size: int) -> np.ndarray:
     if not len(w):
         return w
     size = min(size, len(w))
@@ -121,32 +132,44 @@ def _sign(low: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's counts in the hash classes, as integers of 64 bits."""
+    count = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketches(text: Column, size: int) -> Column:
-    @F.pandas_udf("g long, n long, keys array<long>, s0 long, s1 long, s2 long, s3 long")
+    @F.pandas_udf("g long, n long, words long, keys array<long>, odd array<long>, s0 long, s1 long, s2 long, s3 long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            ids, n, keys, signs = [], [], [], []
+            ids, n, words, keys, odd, signs = [], [], [], [], [], []
             for t in s:
-                x = shingles(t, size)
+                w = _text_words(t)
+                x = _shingled(w, size)
                 low = _minima(x)
                 ids.append(_set_id(x))
                 n.append(len(x))
+                words.append(len(w))
+                odd.append(_parities(x))
                 keys.append(_bands(low).view(np.int64))
                 signs.append(_sign(low))
             signs = np.array(signs, np.int64).reshape(-1, len(SIGN))
-            yield pd.DataFrame({"g": np.array(ids, np.uint64).view(np.int64), "n": np.array(n, np.int64), "keys": keys} | {c: signs[:, i] for i, c in enumerate(SIGN)})
+            yield pd.DataFrame({"g": np.array(ids, np.uint64).view(np.int64), "n": np.array(n, np.int64), "words": np.array(words, np.int64), "keys": keys, "odd": odd} | {c: signs[:, i] for i, c in enumerate(SIGN)})
 
     return of(text)
 
 
 def _sets(text: Column, size: int) -> Column:
+    """A text's set. Declared as not deterministic: else the planner checks the join key for null, by a second call, on every text before
+    the few that are wanted are picked."""
+
     @F.pandas_udf("g long, s array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             sets = [shingles(t, size) for t in s]
             yield pd.DataFrame({"g": np.array([_set_id(x) for x in sets], np.uint64).view(np.int64), "s": [x.view(np.int64) for x in sets]})
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -167,6 +190,15 @@ def _close(a: str, b: str, least: float) -> Column:
     return size & (F.col(f"{a}.c") != F.col(f"{b}.c")) & (_bits(a, b) <= FAR)
 
 
+def _within(x: Column, y: Column, n: Column, least: float) -> Column:
+    """Whether sets of ``n`` shingles together, with the parities x and y, can be similar enough. The parities differ in no more places than
+    the sets have shingles apart; of ``far`` shingles apart, in half the classes at most and mostly in fewer."""
+    apart = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(CLASSES // 64)), F.lit(0))
+    far = (1 - least) / (1 + least) * n
+    usual = CLASSES / 2 * (1 - F.exp(-2.0 * far / CLASSES)) + SIGMAS * F.sqrt(CLASSES / 4 * (1 - F.exp(-4.0 * far / CLASSES)))
+    return apart <= F.least(far + 1e-9, usual)
+
+
 def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Nodes (g, c) after components were linked by the edges (a, b) between nodes."""
     ends = edges.join(nodes.select(F.col("g").alias("a"), F.col("c").alias("x")), "a").join(nodes.select(F.col("g").alias("b"), F.col("c").alias("y")), "b")
@@ -174,17 +206,18 @@ def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return stored(nodes.join(found, "c", "left").select("g", F.coalesce("component", "c").alias("c")), name)
 
 
-def _linked(shared: DataFrame, sets: DataFrame, least: float, leaders: int) -> DataFrame:
-    """(g, c): the component of each node of the buckets (key, v: node)."""
+def _linked(shared: DataFrame, odd: DataFrame, sets: DataFrame, least: float, leaders: int) -> DataFrame:
+    """(g, c): the component of each node of the buckets (key, v: node); ``odd``: (g, n, odd) of the nodes."""
     nodes = stored(shared.select(F.col("v.g").alias("g")).distinct().withColumn("c", F.col("g")), "components")
-    tested = None
+    rows, tested = shared, None
 
-    def labelled() -> DataFrame:
-        """Buckets of more than one component, their nodes labelled."""
-        rows = shared.select("key", "v", F.col("v.g").alias("g")).join(nodes, "g").select("key", F.col("v").withField("c", F.col("c")).alias("v"))
-        rows = stored(rows, "labelled")
-        mixed = rows.groupBy("key").agg(F.min("v.c").alias("lo"), F.max("v.c").alias("hi")).where("lo < hi").select("key")
-        return rows.join(mixed, "key", "left_semi")
+    def labelled() -> tuple[DataFrame, DataFrame]:
+        """The buckets' rows with their components, and (key, l) of the buckets of more than one component, l their leader."""
+        own = rows.select("key", "v", F.col("v.g").alias("g")).join(nodes, "g").select("key", F.col("v").withField("c", F.col("c")).alias("v"))
+        own = stored(own, "labelled")
+        # A bucket's leader is drawn anew in each round.
+        lead = own.groupBy("key").agg(F.min("v.c").alias("lo"), F.max("v.c").alias("hi"), F.min_by("v", F.xxhash64("v.g", F.lit(turn))).alias("l"))
+        return own, stored(lead.where("lo < hi").select("key", "l"), "leaders")
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         nonlocal tested
@@ -195,31 +228,41 @@ def _linked(shared: DataFrame, sets: DataFrame, least: float, leaders: int) -> D
 
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     for turn in range(leaders):
-        rows = labelled()
-        # A bucket's leader is drawn anew in each round; of its buckets' leaders a node is measured against the likeliest.
-        lead = rows.groupBy("key").agg(F.min_by("v", F.xxhash64("v.g", F.lit(turn))).alias("l"))
+        rows, lead = labelled()
+        # Of its buckets' leaders a node is measured against the likeliest.
         near = rows.join(lead, "key").where(_close("v", "l", least))
         best = near.groupBy(F.col("v.g").alias("g")).agg(F.min_by("l.g", F.struct(_bits("v", "l").alias("d"), F.col("l.g").alias("o"))).alias("l"))
-        edges = measured(best.select(*order("g", "l")).distinct(), "edges")
+        pairs = best.select(*order("g", "l")).distinct()
+        for e in ("a", "b"):
+            pairs = pairs.join(odd.select(F.col("g").alias(e), F.col("n").alias(f"{e}n"), F.col("odd").alias(f"{e}o")), e)
+        edges = measured(pairs.where(_within(F.col("ao"), F.col("bo"), F.col("an") + F.col("bn"), least)).select("a", "b"), "edges")
+        # Components only grow: a bucket of one stays so.
+        rows = rows.join(lead.select("key"), "key", "left_semi")
         if edges.isEmpty():
             break
         nodes = _joined(nodes, edges, "components")
-    rows = labelled()
-    both = rows.join(rows.select("key", F.col("v").alias("w")), "key").where((F.col("v.g") < F.col("w.g")) & _close("v", "w", least))
+    turn = leaders
+    rows, lead = labelled()
+    rows = rows.join(lead.select("key"), "key", "left_semi").withColumn("g", F.col("v.g"))
+    rows = stored(rows.join(odd.select("g", "odd"), "g").select("key", F.col("v").withField("odd", F.col("odd")).alias("v")), "mixed")
+    both = rows.join(rows.select("key", F.col("v").alias("w")), "key").where(
+        (F.col("v.g") < F.col("w.g")) & _close("v", "w", least) & _within(F.col("v.odd"), F.col("w.odd"), F.col("v.n") + F.col("w.n"), least)
+    )
     edges = measured(both.select(*order("v.g", "w.g")).distinct(), "edges")
     return nodes if edges.isEmpty() else _joined(nodes, edges, "components")
 
 
 def near_rows(docs: DataFrame, *extra: Column, size: int = SHINGLE, least: float = SIMILAR, leaders: int = LEADERS) -> DataFrame:
-    """doc_id, g (the row's shingle set), component and the ``extra`` columns, one row per input row. ``component`` names a
+    """doc_id, g (the row's shingle set), words, component and the ``extra`` columns, one row per input row. ``component`` names a
     component of the links between sets; rows without words share one. Nothing depends on ids: null and repeated ids are
     grouped by their text like all others. Texts are read whole; only ids, hashes and the sets of candidates are shuffled.
 
     Large groups stay near linear: in each of a few rounds a node is measured against one leader of its buckets, and pairs whose ends are joined
-    already are dropped inside the joins. Only then are the pairs left between different components measured, all of them.
+    already are dropped inside the joins. Only then are the pairs left between different components, all of them, met in their buckets and, unless
+    their parities rule them out there, measured.
     """
     sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, _sketches(F.col("text"), size).alias("_k"))
-    rows = stored(sketch.select("*", "_k.g", "_k.n", "_k.keys", *[f"_k.{c}" for c in SIGN]).drop("_k"), "sketches")
+    rows = stored(sketch.select("*", "_k.g", "_k.n", "_k.words", "_k.keys", "_k.odd", *[f"_k.{c}" for c in SIGN]).drop("_k"), "sketches")
     nodes = rows.groupBy("g").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", *SIGN)])
     node = F.struct("g", "n", *SIGN).alias("v")
     index = nodes.where("n > 0").select("doc_id", node, F.explode("keys").alias("key"))
@@ -227,14 +270,15 @@ def near_rows(docs: DataFrame, *extra: Column, size: int = SHINGLE, least: float
     many = nodes.where("n > 0").select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
     shared = stored(index.join(many, "key", "left_semi"), "buckets")
     wanted = stored(shared.select(F.col("v.g").alias("g"), "doc_id").distinct(), "members")
-    plain = rows.drop("n", "keys", *SIGN)
+    plain = rows.drop("n", "keys", "odd", *SIGN)
     if wanted.isEmpty():
         return plain.withColumn("component", F.col("g"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(wanted.where("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
     sets = texts.select(_sets(F.col("text"), size).alias("_s")).select("_s.g", "_s.s").dropDuplicates(["g"]).join(wanted.select("g"), "g", "left_semi")
     sets = stored(sets, "sets")
-    found = _linked(shared.select("key", "v"), sets, least, leaders).select("g", F.col("c").alias("component"))
+    odd = stored(rows.select("g", "n", "odd").join(wanted.select("g"), "g", "left_semi").dropDuplicates(["g"]), "parities")
+    found = _linked(shared.select("key", "v"), odd, sets, least, leaders).select("g", F.col("c").alias("component"))
     return plain.join(found, "g", "left").withColumn("component", F.coalesce("component", "g"))
 
 

@@ -111,5 +111,5 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = No
 def packed_apart(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) -> DataFrame:
     """``packed`` with the components of near copies (5-word shingles, similarity 0.8) as clusters, so that neither equal texts nor
     near copies share a bin. Clusters come with the rows, not by id, so that null and repeated ids have the cluster of their text."""
-    rows = near_rows(docs, F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("n_tokens"))
-    return packed(rows, capacity, F.col("n_tokens"), F.col("component"), shard_rows)
+    rows = near_rows(docs, F.col("source").cast("string").alias("source"))
+    return packed(rows, capacity, F.col("words"), F.col("component"), shard_rows)

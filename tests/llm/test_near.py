@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cutline.llm import simhash
-from cutline.llm.near import keep_one, near_rows, shingles
+from cutline.llm.near import _parities, _within, keep_one, near_rows, shingles
 from tests.llm.conftest import LONG
 
 
@@ -89,3 +91,33 @@ def test_edge_cases(documents):
 def test_null_and_repeated_ids_are_grouped_by_their_text(documents):
     rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (7, "m n o p q r"), (None, "s t u v w x"), (None, "s t u v w x")]
     assert sorted(r["text"][0] for r in keep_one(documents(rows)).collect()) == ["a", "g", "m", "s"]
+
+
+def test_parities_never_rule_out_a_pair_at_the_threshold(spark):
+    rng, pairs = random.Random(5), []
+    for size in (1, 2, 9, 45, 180, 900, 4500):
+        for _ in range(6):
+            common = [rng.randrange(1 << 64) for _ in range(size)]
+            own = [[rng.randrange(1 << 64) for _ in range(n)] for n in (size // 4, 0)]  # similarity 0.8 or just above
+            x, y = (np.sort(np.array(common + o, np.uint64)) for o in own)
+            pairs.append((_parities(x).tolist(), _parities(y).tolist(), len(x) + len(y)))
+    table = spark.createDataFrame(pairs, "x array<long>, y array<long>, n long")
+    assert table.where(_within(F.col("x"), F.col("y"), F.col("n"), 0.8)).count() == len(pairs)
+
+
+def test_pairs_of_a_spread_group_are_ruled_out_inside_the_join(documents, spark):
+    """Copies of one text from near to far: many share buckets, few pairs between different components need the whole sets."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(i % 12):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(words)))
+    want, folder = expected(rows), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    old = set(folder.glob("pairs-*"))
+    got = {r["doc_id"]: r["component"] for r in near_rows(documents(rows)).collect()}
+    pairs = sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("pairs-*")) - old)
+    assert len({(w, got[i + 1]) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+    assert pairs < 6 * len(rows)
