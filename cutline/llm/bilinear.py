@@ -120,6 +120,11 @@ def _log_share(s: np.ndarray, target: np.ndarray) -> np.ndarray:
     return own - np.log(np.exp(s, out=s).sum(1))
 
 
+def _sorted(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of symbols; numbers of 16 bits are sorted by their digits, several times faster."""
+    return np.argsort(symbols.astype(np.uint16), kind="stable")
+
+
 class Bilinear:
     """Parameters as one flat array, so that they can be sent and averaged."""
 
@@ -160,7 +165,7 @@ class Bilinear:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all symbols."""
-        order = np.argsort(target, kind="stable")
+        order = _sorted(target)
         context, target = context[order], target[order]
         r, group = self.foretold(context), target // WIDTH
         found = _log_share(r @ np.ascontiguousarray(self.group.T), group).astype(np.float64)
@@ -189,7 +194,7 @@ class Bilinear:
         out = Bilinear.__new__(Bilinear)
         out.shapes, out.flat = self.shapes, np.zeros_like(self.flat)
         out._views()
-        order = np.argsort(target, kind="stable")
+        order = _sorted(target)
         context, target = context[order], target[order]
         r, group = self.foretold(context), target // WIDTH
         g = self._contrast(r @ np.ascontiguousarray(self.group.T), self.class_noise, group)
@@ -203,9 +208,10 @@ class Bilinear:
         for i in range(CONTEXT):
             word = context[:, i]
             out.place[i] = (back * self.context[word]).sum(0)
-            order = np.argsort(word, kind="stable")
-            seen, first = np.unique(word[order], return_index=True)
-            out.context[seen] += np.add.reduceat((back * self.place[i])[order], first, axis=0)
+            order = _sorted(word)
+            word = word[order]
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            out.context[word[first]] += np.add.reduceat((back * self.place[i])[order], first, axis=0)
         return out.flat
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:

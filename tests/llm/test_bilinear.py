@@ -114,3 +114,8 @@ def test_empty_tables(spark, documents):
     out = next(i for i in range(100) if held(i))
     row = B.text_scores(documents([(out, "never seen words")])).first()  # nothing to learn from
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (4, 0, 0, 0.0, 0.0)
+
+
+def test_symbols_are_sorted_by_digits_and_stay_in_order():
+    symbols = np.random.default_rng(2).integers(0, B.SYMBOLS + 1, 20_000)
+    assert (B._sorted(symbols) == np.argsort(symbols, kind="stable")).all()
