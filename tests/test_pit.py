@@ -132,3 +132,18 @@ def test_history_is_read_and_shuffled_once(spark, tmp_path):
     got = pit_lookup([(seen, "at", {"last": Latest(F.col("x")), "sum": Total(F.col("x"))})], rows.select("team", F.col("at").alias("cut")), keys=["team"], at="cut")
     got.write.parquet(str(tmp_path / "out"))
     assert passes.value == 2000 and spark.read.parquet(str(tmp_path / "out")).where("last is not null").count() == 1995
+
+
+def test_look_up_of_the_feature_tables_is_stored_once(spark):
+    """Both sides of a match read one stored block; stored snapshots are read where the missing keys are asked for."""
+    from pathlib import Path
+
+    from cutline.catalog.bindings import Views
+    from cutline.catalog.features import feature_snapshots, features, v1_features
+
+    v, folder = Views(spark, "/root/testdata/sf0.001"), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    for build in (features, v1_features):
+        assert "Union" not in build(v)._jdf.queryExecution().optimizedPlan().toString().replace("InMemory", "")
+    before = set(folder.glob("snapshots-*"))
+    feature_snapshots(v)
+    assert len(set(folder.glob("snapshots-*")) - before) == 1
