@@ -19,3 +19,15 @@ def test_quotes_before_is_not_salted(spark):
     out = market.quotes_before(quotes, cuts)
     assert sorted((r.match_id, r.q, r.cutoff_time) for r in out.collect()) == [(1, "a", 20), (1, "a", 40), (1, "b", 40)]
     assert "Generate" not in plan(out)
+
+
+def test_mirror_augment_reads_its_table_once(spark):
+    df = spark.createDataFrame([(1, "x", "y", 0.25, 2.0, 1, True), (2, "p", "q", None, None, None, None)],
+                               "id long, home string, away string, p double, d_diff double, n int, b boolean")
+    out = folds.mirror_augment(df, swap=[("home", "away")], negate=["d_diff"], complement=["p"], flip=["n", "b"])
+    assert out.columns == [*df.columns, "is_mirror"]
+    assert sorted(map(tuple, out.collect()), key=lambda r: (r[0], r[-1])) == [
+        (1, "x", "y", 0.25, 2.0, 1, True, False), (1, "y", "x", 0.75, -2.0, 0, False, True),
+        (2, "p", "q", None, None, None, None, False), (2, "q", "p", None, None, None, None, True),
+    ]
+    assert "Union" not in plan(out)
