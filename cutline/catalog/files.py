@@ -12,6 +12,7 @@ from cutline.catalog.names import ALIASES, STRICT
 from cutline.catalog.registry import Registry
 from cutline.operators import aliases as A
 from cutline.operators import manifest as MO
+from cutline.plans.store import materialize
 from cutline.session import checkpoint_dir
 from cutline.sources import availability as SA
 from cutline.sources import event_files as SE
@@ -384,7 +385,7 @@ def write_report(v):
 def write_manifest(v):
     """The manifest's artifacts written as JSON tables and read back."""
     path = f"{checkpoint_dir(v.spark)}/manifest-{uuid.uuid4().hex}"
-    rows = classified(v)
+    rows = materialize(classified(v), "classified")
     SS.write_manifest(path, {"manifest": MO.accepted(rows), "quarantine": MO.excluded(rows), "third_place": MO.excluded(rows, third_place=True)})
     read = lambda name, col: v.spark.read.schema(f"{col} string").json(f"{path}/{name}").select(F.col(col).alias("name"))
     parts = read("manifest", "source").withColumn("artifact", F.lit("manifest")).unionByName(

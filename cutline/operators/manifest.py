@@ -12,7 +12,7 @@ from cutline.functions.stages import (
     synth_match_id,
 )
 from cutline.operators.labels import advancer
-from cutline.operators.skew import SALTS, pick_row, salted_join
+from cutline.operators.skew import pick_row
 from cutline.plans.store import materialize
 
 EXPECTED_PER_EDITION = 15
@@ -24,7 +24,6 @@ def classify_fixtures(
     results: DataFrame,
     *,
     third_place_first: bool = False,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Every knockout row with ``reason`` (null = accepted).
 
@@ -34,7 +33,8 @@ def classify_fixtures(
 
     A row fails on its own first; the first valid row of (kickoff, home, away) by provider and
     position is accepted, and everything after it with that key is a duplicate. A row that fails
-    its own checks does not claim the key.
+    its own checks does not claim the key. Nothing is grouped behind the join with the winners, so a key with many rows needs no salt:
+    adaptive execution splits it.
     """
     stage = F.trim(F.coalesce(F.col("stage"), F.lit("")))
     if third_place_first:
@@ -69,7 +69,7 @@ def classify_fixtures(
     )
     duplicate = F.col("_early").isNull() & (F.col("_pos") > F.col("_winner"))
     return (
-        salted_join(marked, winners, key, "left", salts)
+        marked.join(winners, key, "left")
         .withColumn(
             "reason",
             F.when(duplicate, "duplicate_across_providers").otherwise(F.coalesce("_early", "_late")),

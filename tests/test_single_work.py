@@ -31,3 +31,12 @@ def test_mirror_augment_reads_its_table_once(spark):
         (2, "p", "q", None, None, None, None, False), (2, "q", "p", None, None, None, None, True),
     ]
     assert "Union" not in plan(out)
+
+
+def test_fixtures_meet_winners_once(spark):
+    cols = "provider string, provider_rank int, ordinal long, match_id long, kickoff_at long, competition_id string, tournament string, stage string, season_or_year string, home_team_id string, away_team_id string"
+    fixtures = spark.createDataFrame([(f"p{r}", r, r, 1, 5, "c", "t", "Final", "1990", "x", "y") for r in range(3)], cols)
+    results = spark.createDataFrame([(f"p{r}", 1, r, 2, 1, True) for r in range(1, 3)], "provider string, match_id long, ordinal long, home_goals_90 int, away_goals_90 int, home_advances boolean")
+    out = manifest.classify_fixtures(fixtures, results)
+    assert {r.provider: r.reason for r in out.collect()} == {"p0": "missing_result", "p1": None, "p2": "duplicate_across_providers"}
+    assert "Generate" not in plan(out)
