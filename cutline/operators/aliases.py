@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.functions.names import canonical_key, is_blank, slug
+from cutline.functions.names import canonical_key, is_blank, slug, slug_of_key
 from cutline.operators.skew import pick_row
 
 # The built-in alias table.
@@ -90,12 +90,13 @@ def builtin_registry(spark: SparkSession, strict: bool = False) -> DataFrame:
 
 
 def resolve_teams(
-    df: DataFrame, names: dict[str, str], registry: DataFrame, unresolved_flags: bool = False
+    df: DataFrame, names: dict[str, str], registry: DataFrame, unresolved_flags: bool = False, keys: bool = False
 ) -> DataFrame:
     """Add a team id per name column: ``names`` maps name column -> output column.
 
     Blank -> ``unknown``; registry hit -> its id; else the slug. The registry can grow, so its
-    size decides between broadcast and shuffle: no hint is forced.
+    size decides between broadcast and shuffle: no hint is forced. A name's canonical key is worked out
+    once; with ``keys`` it stays as ``{output}_key``.
     """
     out = df
     for name, target in names.items():
@@ -103,8 +104,10 @@ def resolve_teams(
             F.col("alias_key").alias("_k"), F.col("team_id").alias("_t")
         )
         out = out.withColumn("_k", canonical_key(name)).join(hit, "_k", "left")
-        known = F.when(is_blank(name), F.lit("unknown")).otherwise(F.coalesce("_t", slug(name)))
+        known = F.when(is_blank(name), F.lit("unknown")).otherwise(F.coalesce(F.col("_t"), slug_of_key(F.col("_k"))))
         out = out.withColumn(target, known)
+        if keys:
+            out = out.withColumn(f"{target}_key", F.col("_k"))
         if unresolved_flags:
             out = out.withColumn(f"{target}_unresolved", ~is_blank(name) & F.col("_t").isNull())
         out = out.drop("_k", "_t")

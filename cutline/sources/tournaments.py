@@ -104,11 +104,11 @@ def parse_tournaments(matches: DataFrame, registry: DataFrame, source: str = "to
     )
     marked = df.withColumn("reason", reason)
     good = resolve_teams(
-        marked.filter(F.col("reason").isNull()), {"home_team": "home_team_id", "away_team": "away_team_id"}, registry
+        marked.filter(F.col("reason").isNull()), {"home_team": "home_team_id", "away_team": "away_team_id"}, registry, keys=True
     )
-    under = lambda c: F.replace(canonical_key(c), F.lit(" "), F.lit("_"))
-    composed = F.concat_ws("_", F.date_format("_kick", "yyyyMMdd"), under("home_team"), under("away_team"))
-    ident = F.when(is_blank(trim_all("m.key")), composed).otherwise(under("m.key"))
+    under = lambda key: F.replace(key, F.lit(" "), F.lit("_"))
+    composed = F.concat_ws("_", F.date_format("_kick", "yyyyMMdd"), under(F.col("home_team_id_key")), under(F.col("away_team_id_key")))
+    ident = F.when(is_blank(trim_all("m.key")), composed).otherwise(under(canonical_key("m.key")))
     winner = F.when(F.col("home_goals") > F.col("away_goals"), F.col("home_team_id")).when(
         F.col("home_goals") < F.col("away_goals"), F.col("away_team_id")
     )

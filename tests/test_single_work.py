@@ -40,3 +40,16 @@ def test_fixtures_meet_winners_once(spark):
     out = manifest.classify_fixtures(fixtures, results)
     assert {r.provider: r.reason for r in out.collect()} == {"p0": "missing_result", "p1": None, "p2": "duplicate_across_providers"}
     assert "Generate" not in plan(out)
+
+
+def test_names_are_folded_once_and_only_where_they_have_accents(spark):
+    docs = spark.createDataFrame([('{"name": "Cup São 1", "matches": [{"date": "2001-02-03", "team1": "Türkiye", "team2": "New  Town", "score": {"ft": [1, 0]}}]}',)], "value string")
+    good, _ = ST.parse_tournaments(ST.parse_documents(docs), A.builtin_registry(spark))
+    r = good.first()
+    assert (r.match_id, r.home_team_id, r.away_team_id, r.competition_id) == ("OF_20010203_turkiye_new_town", "turkiye", "new_town", "cup_sao_1")
+    text = plan(good.select("match_id", "home_team_id", "away_team_id"))
+    assert text.count("translate(lower(btrim(home_team") <= 1 and text.count("octet_length(lower(btrim(home_team") <= 1
+    from cutline.functions.names import strip_accents
+
+    plain = plan(spark.range(1).select(strip_accents(F.concat(F.col("id").cast("string"), F.lit("x"))).alias("s")))
+    assert "octet_length" in plain
