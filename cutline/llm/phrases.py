@@ -25,6 +25,8 @@ from cutline.llm.common import bounded_batches, stored
 LONGEST, LEAST, TOP, INSIDE = 4, 30, 2000, (4, 5)  # a candidate goes if a longer one has 4/5 of its count
 #: Words of a shard, at least (but for the last of a task); a batch of texts or one text more at most.
 SHARD = 1 << 21
+#: Places of an index that are looked at together.
+PLACES = 1 << 18
 
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 
@@ -99,8 +101,16 @@ def _order(seq: np.ndarray, depth: int) -> np.ndarray:
     """Places of a cyclic sequence sorted by the ``depth`` symbols from there on (a power of two)."""
     key, step = seq, 1
     while step < depth:
-        rank = np.unique(key, return_inverse=True)[1] if step > 1 else key
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
+        if step > 1:  # the place of each value among the distinct ones
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            place = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32)
+            key = np.empty(len(order), np.int32)
+            key[order] = place
+            del order, place
+        rank, key = key, key.astype(np.int64)
+        key *= int(rank.max()) + 1
+        key += np.roll(rank, -step)
         step *= 2
     return np.argsort(key, kind="stable")
 
@@ -111,9 +121,12 @@ class Index:
 
     def __init__(self, seq: np.ndarray, depth: int):
         self.size = len(seq) + 1
-        self.bwt = seq[_order(seq, depth) - 1]
+        self.bwt = seq[_order(seq, depth) - 1].astype(np.int32)
         self.start = np.r_[0, np.cumsum(np.bincount(seq))]
-        self.keys = np.sort(self.bwt * self.size + np.arange(len(seq)))  # (symbol, place): ranks by bisection
+        self.keys = self.bwt.astype(np.int64)  # (symbol, place): ranks by bisection
+        self.keys *= self.size
+        self.keys += np.arange(len(seq))
+        self.keys.sort()
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """Backward step: where the interval of ``symbol`` before the pattern starts whose own interval starts at ``lo``."""
@@ -127,18 +140,26 @@ class Index:
         return lo, hi
 
     def before(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(interval, symbol, count, symbols in the interval that are smaller) for what stands before each interval, gaps left out."""
+        """(interval, symbol, count, symbols in the interval that are smaller) for what stands before each interval, gaps left out. Intervals
+        are looked at in runs of about ``PLACES`` places, or one longer interval, so that a whole shard is never spelled out at once."""
+        run = (np.cumsum(hi - lo) - 1) // PLACES
+        cuts = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1, len(lo)] if len(lo) else np.zeros(1, np.int64)
+        parts = [self._before(lo[i:j], hi[i:j], i) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+
+    def _before(self, lo: np.ndarray, hi: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         length = hi - lo
         of = np.repeat(np.arange(len(lo)), length)
         at = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
         wide = len(self.start)
-        key = np.sort(of * wide + self.bwt[lo[of] + at])
+        key = of * wide + self.bwt[lo[of] + at]
+        key.sort()
         cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.r_[cut, len(key)])
         of, symbol = np.divmod(key[cut], wide)
         smaller = cut - (np.cumsum(length) - length)[of]
         real = symbol > 0
-        return of[real], symbol[real], count[real], smaller[real]
+        return of[real] + first, symbol[real], count[real], smaller[real]
 
 
 def grown(forward: Index, backward: Index, phrases: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -147,8 +168,9 @@ def grown(forward: Index, backward: Index, phrases: list[np.ndarray]) -> tuple[l
     rlo, rhi = backward.find(phrases)
     of, word, count, smaller = backward.before(rlo, rhi)
     starts = flo[of] + smaller
-    left, symbol, _, _ = forward.before(flo, fhi)
-    both = np.isin(starts, forward.extend(symbol, flo[left]))
+    left, symbol = forward.before(flo, fhi)[:2]
+    named = np.r_[np.sort(forward.extend(symbol, flo[left])), -1]
+    both = named[np.searchsorted(named[:-1], starts)] == starts
     return [c[of[both]] for c in phrases] + [word[both]], count[both]
 
 
@@ -176,7 +198,7 @@ def _longer(longest: int):
         names = _keys(longest)
         if not len(pairs) or not len(shard):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in [*names, "c"]})
-        seq, words = _unpacked(shard["seq"].iloc[0]), _unpacked(shard["words"].iloc[0])
+        seq, words = _unpacked(shard["seq"].iloc[0]).astype(np.int32), _unpacked(shard["words"].iloc[0])
         back = np.argsort(words)
         key = pairs["key"].to_numpy()
         phrases = [back[np.searchsorted(words, w, sorter=back)] + 1 for w in (key >> 32, key & 0xFFFFFFFF)]

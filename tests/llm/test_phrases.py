@@ -89,3 +89,27 @@ def test_empty(spark):
     empty = frame(spark, [("en", "x")]).limit(0)
     assert collocations(empty).collect() == []
     assert counted(frame(spark, [(None, None)]))[1].count() == 0
+
+
+def test_intervals_are_looked_at_in_runs(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from cutline.llm import phrases as P
+
+    seq = np.r_[0, np.random.default_rng(3).integers(0, 9, 5000), 0]
+    index = P.Index(seq, 1)
+    lo, hi = index.find([np.arange(1, 9)])
+    whole = index.before(lo, hi)
+    monkeypatch.setattr(P, "PLACES", 7)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, index.before(lo, hi), strict=True))
+    assert [len(c) for c in index.before(lo[:0], hi[:0])] == [0] * 4
+    monkeypatch.undo()
+    seq = np.r_[0, np.random.default_rng(4).integers(0, 200, 1 << 20), 0]
+    index = P.Index(seq, 1)
+    lo, hi = index.find([np.arange(1, 200)])
+    tracemalloc.start()
+    index.before(lo, hi)
+    assert tracemalloc.get_traced_memory()[1] < 16 * len(seq)  # spelled out at once it takes several arrays of eight bytes a place
+    tracemalloc.stop()
