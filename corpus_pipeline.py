@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cutline.llm.bytenet import keep_good
 from cutline.llm.common import stored, table
 from cutline.llm.mixing import remixed
-from cutline.llm.near import keep_one
 from cutline.llm.packing import packed_apart
 from cutline.llm.secrets import masked
+from cutline.llm.simhash import keep_one
 
 #: Shares of the tokens: three to one, whatever mix the tables have. What is left of poor text stays as it is.
 TARGETS = {"clean": 0.75, "clean_toxic": 0.25}
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (5-word shingles, similarity 0.8)."""
+    """One document of each group of near copies stays (5-word shingles, similarity 0.8): linked fingerprints are measured first, then bands."""
     return keep_one(docs)
 
 

@@ -11,7 +11,7 @@ that can still join two components is measured on the whole sets, so no pair bel
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.llm.common import fresh, stored
-from cutline.llm.graph import components
+from cutline.llm.graph import components, components_of_few
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 BANDS, ROWS = 32, 4
@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 FAR = 60
 #: Rounds in which each node is measured against one leader; what is left is measured pair by pair.
 LEADERS = 4
+#: Links of a round that are joined in one place; more are joined by rounds of jobs over the table.
+FEW = 50_000
 SIGN = ("s0", "s1", "s2", "s3")
 #: Hash classes of shingles whose parities a node carries, and deviations above the mean that long sets' parities may differ by.
 CLASSES, SIGMAS = 1024, 7.0
@@ -202,13 +204,15 @@ def _within(x: Column, y: Column, n: Column, least: float) -> Column:
 def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Nodes (g, c) after components were linked by the edges (a, b) between nodes."""
     ends = edges.join(nodes.select(F.col("g").alias("a"), F.col("c").alias("x")), "a").join(nodes.select(F.col("g").alias("b"), F.col("c").alias("y")), "b")
-    found = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("c"), "component")
+    ends = ends.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components_of_few(ends, FEW)
+    found = (components(ends) if found is None else found).select(F.col("node").alias("c"), "component")
     return stored(nodes.join(found, "c", "left").select("g", F.coalesce("component", "c").alias("c")), name)
 
 
-def _linked(shared: DataFrame, odd: DataFrame, sets: DataFrame, least: float, leaders: int) -> DataFrame:
-    """(g, c): the component of each node of the buckets (key, v: node); ``odd``: (g, n, odd) of the nodes."""
-    nodes = stored(shared.select(F.col("v.g").alias("g")).distinct().withColumn("c", F.col("g")), "components")
+def _linked(shared: DataFrame, nodes: DataFrame, odd: DataFrame, sets: DataFrame, least: float, leaders: int) -> DataFrame:
+    """(g, c): the component of each of the ``nodes`` (g, c), after those that meet in buckets (key, v: node) were measured; ``odd``:
+    (g, n, odd) of the buckets' nodes."""
     rows, tested = shared, None
 
     def labelled() -> tuple[DataFrame, DataFrame]:
@@ -252,54 +256,66 @@ def _linked(shared: DataFrame, odd: DataFrame, sets: DataFrame, least: float, le
     return nodes if edges.isEmpty() else _joined(nodes, edges, "components")
 
 
-def near_rows(docs: DataFrame, *extra: Column, size: int = SHINGLE, least: float = SIMILAR, leaders: int = LEADERS) -> DataFrame:
+def near_rows(
+    docs: DataFrame, *extra: Column, size: int = SHINGLE, least: float = SIMILAR, leaders: int = LEADERS, first: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """doc_id, g (the row's shingle set), words, component and the ``extra`` columns, one row per input row. ``component`` names a
     component of the links between sets; rows without words share one. Nothing depends on ids: null and repeated ids are
     grouped by their text like all others. Texts are read whole; only ids, hashes and the sets of candidates are shuffled.
 
+    ``first`` gives pairs (a, b) of sets, from the rows (g, n and the ``extra`` columns), that are measured before the bands are looked at.
+
     Large groups stay near linear: in each of a few rounds a node is measured against one leader of its buckets, and pairs whose ends are joined
     already are dropped inside the joins. Only then are the pairs left between different components, all of them, met in their buckets and, unless
     their parities rule them out there, measured.
     """
     sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, _sketches(F.col("text"), size).alias("_k"))
     rows = stored(sketch.select("*", "_k.g", "_k.n", "_k.words", "_k.keys", "_k.odd", *[f"_k.{c}" for c in SIGN]).drop("_k"), "sketches")
-    nodes = rows.groupBy("g").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", *SIGN)])
-    node = F.struct("g", "n", *SIGN).alias("v")
-    index = nodes.where("n > 0").select("doc_id", node, F.explode("keys").alias("key"))
-    # Buckets of one hold no pair.
-    many = nodes.where("n > 0").select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
-    shared = stored(index.join(many, "key", "left_semi"), "buckets")
-    wanted = stored(shared.select(F.col("v.g").alias("g"), "doc_id").distinct(), "members")
+    keys = rows.where("n > 0").select("g", F.explode("keys").alias("key"))
+    # Buckets of one hold no pair. All others are found by two hashes of a row and a combined minimum; what else a node has is fetched for those only.
+    many = stored(keys.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key"), "many")
+    buckets = stored(keys.join(many, "key", "left_semi").distinct(), "met")
     plain = rows.drop("n", "keys", "odd", *SIGN)
-    if wanted.isEmpty():
+    known = stored(first(rows.where("n > 0")).select("a", "b"), "known") if first else None
+    wanted = buckets.select("g")
+    if known is not None:
+        wanted = wanted.unionByName(known.select(F.col("a").alias("g"))).unionByName(known.select(F.col("b").alias("g")))
+    members = rows.join(wanted.distinct(), "g", "left_semi").groupBy("g").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "odd", *SIGN)])
+    members = stored(members, "members")
+    if members.isEmpty():
         return plain.withColumn("component", F.col("g"))
+    ids = stored(members.where("doc_id is not null").select("doc_id").distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(wanted.where("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
-    sets = texts.select(_sets(F.col("text"), size).alias("_s")).select("_s.g", "_s.s").dropDuplicates(["g"]).join(wanted.select("g"), "g", "left_semi")
+    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    sets = texts.select(_sets(F.col("text"), size).alias("_s")).select("_s.g", "_s.s").join(members.select("g"), "g", "left_semi").dropDuplicates(["g"])
     sets = stored(sets, "sets")
-    odd = stored(rows.select("g", "n", "odd").join(wanted.select("g"), "g", "left_semi").dropDuplicates(["g"]), "parities")
-    found = _linked(shared.select("key", "v"), odd, sets, least, leaders).select("g", F.col("c").alias("component"))
+    nodes = members.select("g", F.col("g").alias("c"))
+    if known is not None:
+        edges = stored(_similar(known, sets, least), "edges")
+        if not edges.isEmpty():
+            nodes = _joined(nodes, edges, "components")
+    shared = stored(buckets.join(members.select("g", F.struct("g", "n", *SIGN).alias("v")), "g").select("key", "v"), "buckets")
+    found = _linked(shared, nodes, members.select("g", "n", "odd"), sets, least, leaders).select("g", F.col("c").alias("component"))
     return plain.join(found, "g", "left").withColumn("component", F.coalesce("component", "g"))
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+def keep_one(docs: DataFrame, *extra: Column, size: int = SHINGLE, least: float = SIMILAR, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents with one row of each group of near copies kept: that with the group's smallest doc_id (null ids last), then
-    the smallest shingle set, then the smallest columns."""
+    the smallest shingle set, then the smallest columns. ``extra`` and ``first`` go to ``near_rows``."""
     cols = docs.columns
-    rows = stored(near_rows(docs, size=size, least=least), "near")
+    rows = stored(near_rows(docs, *extra, size=size, least=least, first=first), "near")
     n = fresh(docs, "_rows")
     # A group's rows are combined before the shuffle.
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "g")).alias("b")).select("b.doc_id", "b.g")
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(n))
     best = stored(best.join(ids, "doc_id", "left"), "kept")
-    # One plan at every size: ids and texts are sorted by id and merged.
-    single = best.where(F.col(n) == 1).select("doc_id")
-    out = docs.join(single.hint("merge"), "doc_id", "left_semi")
+    single = stored(best.where(F.col(n) == 1).select("doc_id"), "single")
+    out = docs.join(single, "doc_id", "left_semi")
     rest = best.where(F.col(n).isNull() | (F.col(n) > 1))
     if rest.isEmpty():
         return out
     g, id_, row = fresh(docs, "_g"), fresh(docs, "_id"), fresh(docs, "_row")
-    again = docs.join(rest.where("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    again = docs.join(rest.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     again = again.withColumn(g, _sets(F.col("text"), size)["g"])
     chosen = rest.select(F.col("g").alias(g), F.col("doc_id").alias(id_))
     again = again.join(chosen, (again[g] == chosen[g]) & again["doc_id"].eqNullSafe(chosen[id_])).drop(chosen[g])

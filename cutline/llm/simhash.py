@@ -19,9 +19,9 @@ from pyspark.sql import Window as W
 
 from cutline.llm.common import pieces, stored
 from cutline.llm.graph import components
-from cutline.llm.near import keep_one
+from cutline.llm import near
 
-__all__ = ["fingerprint", "fingerprints", "keep_one", "links", "simhash_groups"]
+__all__ = ["fingerprint", "fingerprints", "keep_one", "links", "print_pairs", "simhash_groups"]
 
 BITS = 64
 SHINGLE = 4
@@ -188,3 +188,20 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, dense: int = DENSE) ->
     return marked.join(every, "f").select(
         "doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def print_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets ``g`` whose fingerprints ``f`` are linked: each set and the least of its fingerprint, and the least ones of linked fingerprints."""
+    sets = stored(rows.select("f", "g").distinct(), "sets-of-prints")
+    prints = stored(sets.groupBy("f").agg(F.min("g").alias("least")), "prints-of-sets")
+    same = sets.join(prints, "f").where("g <> least").select(F.col("least").alias("a"), F.col("g").alias("b"))
+    edges = links(prints.select("f"))
+    end = lambda name: prints.select(F.col("f").alias(name), F.col("least").alias(f"{name}_"))
+    other = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    return same.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, size: int = near.SHINGLE, least: float = near.SIMILAR) -> DataFrame:
+    """``near.keep_one`` with this operator's links as the first candidates: sets whose fingerprints are at most four bits apart are measured and joined
+    first; near copies with fingerprints further apart come from the bands, among what is still in different components."""
+    return near.keep_one(docs, fingerprints(F.col("text")).alias("f"), size=size, least=least, first=print_pairs)

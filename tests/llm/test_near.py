@@ -121,3 +121,38 @@ def test_pairs_of_a_spread_group_are_ruled_out_inside_the_join(documents, spark)
     pairs = sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("pairs-*")) - old)
     assert len({(w, got[i + 1]) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
     assert pairs < 6 * len(rows)
+
+
+def test_few_links_are_joined_without_rounds(documents, monkeypatch):
+    from cutline.llm import near
+
+    def never(edges):
+        raise AssertionError("rounds of jobs over a handful of links")
+
+    monkeypatch.setattr(near, "components", never)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "end"])), (2, "quite another text of a few words")]
+    got = {r["doc_id"]: r["component"] for r in near_rows(documents(rows)).collect()}
+    assert got[0] == got[1] != got[2]
+    monkeypatch.undo()
+    monkeypatch.setattr(near, "FEW", 0)
+    assert {r["doc_id"]: r["component"] for r in near_rows(documents(rows)).collect()} == got
+
+
+def test_stage_measures_linked_fingerprints_first(spark, documents, monkeypatch):
+    import corpus_pipeline
+    from cutline.llm import simhash
+
+    seen, pairs = [], simhash.print_pairs
+
+    def spied(rows):
+        out = pairs(rows)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "print_pairs", spied)
+    words = [f"w{i}" for i in range(400)]
+    # Two sets of one word order are one fingerprint where a repeated passage changes no majority; the third text shares the fingerprint of none.
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "end"])), (2, "quite another text of a few words"), (3, "Quite another text of a few words")]
+    kept = corpus_pipeline.near_duplicates(spark, documents(rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and seen == [1]
