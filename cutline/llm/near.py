@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import fresh, stored
+from cutline.llm.common import bucketed, fresh, stored
 from cutline.llm.graph import components, components_of_few
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
@@ -30,6 +30,8 @@ FAR = 60
 LEADERS = 4
 #: Links of a round that are joined in one place; more are joined by rounds of jobs over the table.
 FEW = 50_000
+#: Sets that lie together, so that the pairs come to them and they are not shuffled in each round; parts of the sets at most.
+TOGETHER, MOST_PARTS = 1024, 10_000
 SIGN = ("s0", "s1", "s2", "s3")
 #: Hash classes of shingles whose parities a node carries, and deviations above the mean that long sets' parities may differ by.
 CLASSES, SIGMAS = 1024, 7.0
@@ -175,7 +177,7 @@ def _sets(text: Column, size: int) -> Column:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
+    """Those of the pairs (a, b) whose whole sets are similar enough. ``sets`` are dealt by g: of them only those that pairs name are shuffled."""
     both = pairs.join(sets.select(F.col("g").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
@@ -287,8 +289,9 @@ def near_rows(
     ids = stored(members.where("doc_id is not null").select("doc_id").distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
-    sets = texts.select(_sets(F.col("text"), size).alias("_s")).select("_s.g", "_s.s").join(members.select("g"), "g", "left_semi").dropDuplicates(["g"])
-    sets = stored(sets, "sets")
+    parts = min(MOST_PARTS, 1 + members.count() // TOGETHER)
+    sets = texts.select(_sets(F.col("text"), size).alias("_s")).select("_s.g", "_s.s").repartition(parts, "g")
+    sets = bucketed(sets.join(members.select("g").repartition(parts, "g"), "g", "left_semi").dropDuplicates(["g"]), "sets", "g", parts)
     nodes = members.select("g", F.col("g").alias("c"))
     if known is not None:
         edges = stored(_similar(known, sets, least), "edges")

@@ -156,3 +156,21 @@ def test_stage_measures_linked_fingerprints_first(spark, documents, monkeypatch)
     rows = [(0, " ".join(words)), (1, " ".join([*words, "end"])), (2, "quite another text of a few words"), (3, "Quite another text of a few words")]
     kept = corpus_pipeline.near_duplicates(spark, documents(rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and seen == [1]
+
+
+def test_whole_sets_are_not_shuffled_again_by_each_measurement(spark):
+    from cutline.llm.common import bucketed
+    from cutline.llm.near import _similar
+
+    sets = spark.createDataFrame([(g, list(range(g, g + 20))) for g in range(60)], "g long, s array<long>")
+    pairs = spark.createDataFrame([(g, g + d) for g in range(50) for d in (1, 3)], "a long, b long")
+    dealt = bucketed(sets.repartition(3, "g"), "sets", "g", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, plain = _similar(pairs, dealt, 0.8), _similar(pairs, sets, 0.8)
+        exchanges = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (got, plain)]
+        assert exchanges == [2, 4]  # the pairs, and the sets that pairs name
+        assert sorted(got.collect()) == sorted(plain.collect()) and got.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cutline_")]
