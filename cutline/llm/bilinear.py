@@ -237,14 +237,14 @@ class _Coder:
     """Ranks of words among the frequent ones; -1 for the rest."""
 
     def __init__(self, counts: Counts):
-        self.rank = {w: i for i, w in enumerate(counts.words)}
+        self.words = pa.array(counts.words, pa.large_binary())
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(rank of each token, place of each among the distinct words, these, place of each text's end)."""
         coded = words.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        ranks, at = np.array([self.rank.get(w, -1) for w in known], np.int64), coded.indices.to_numpy()
-        end = known.index(END) if len(known) else -1
+        found = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1)  # in Arrow: a batch has tens of thousands of distinct words
+        ranks, at = found.to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy()
+        end = pc.index(coded.dictionary, pa.scalar(END, pa.large_binary())).as_py()
         return ranks[at], at, coded.dictionary, np.flatnonzero(at == end)
 
 

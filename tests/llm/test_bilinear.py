@@ -119,3 +119,23 @@ def test_empty_tables(spark, documents):
 def test_symbols_are_sorted_by_digits_and_stay_in_order():
     symbols = np.random.default_rng(2).integers(0, B.SYMBOLS + 1, 20_000)
     assert (B._sorted(symbols) == np.argsort(symbols, kind="stable")).all()
+
+
+def test_words_are_ranked_without_an_object_for_each():
+    import tracemalloc
+
+    from cutline.llm.bilinear import END, Counts, _Coder, _words
+
+    texts = [" ".join(f"w{(7 * i + j) % 30_000}" for j in range(30_000)).encode() for i in range(2)] + [b"", b"w5 unseen w5"]
+    known = tuple([END] + [f"w{i}".encode() for i in range(20_000)])
+    words, coder = _words(texts), _Coder(Counts(60_006, 30_002, known, np.arange(len(known), 0, -1)))
+    tracemalloc.start()
+    ranks, at, distinct, ends = coder(words)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rank = {w: i for i, w in enumerate(known)}
+    assert ranks.tolist() == [rank.get(w, -1) for w in words.to_pylist()]
+    assert [distinct[i].as_py() for i in at[-5:].tolist()] == [END, b"w5", b"unseen", b"w5", END] and ends.tolist() == [30_000, 60_001, 60_002, 60_006]
+    assert held < 2_000_000  # a list of the distinct words alone takes about that
+    for empty in (_words([]), _words([b""])):
+        assert _Coder(Counts(0, 0, (), np.zeros(0, np.int64)))(empty)[0].tolist() == [-1] * len(empty)
