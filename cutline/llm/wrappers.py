@@ -1,8 +1,9 @@
 """Main text of pages, by wrappers learnt from pages of the same host (operator 10).
 
 A wrapper is a union-free regular expression over tags: fixed tags and texts, text slots, optional groups and repeated
-groups. It is inferred from a bounded sample of a host's pages: repeats within a page are folded, and the pages are aligned one
-after the other, each mismatch becoming a slot (other text), an optional group (tags only one side has) or a repeated group.
+groups. It is inferred from all pages of a host: repeats within a page are folded, and each task aligns its pages one
+after the other, each mismatch becoming a slot (other text), an optional group (tags only one side has) or a repeated group. The tasks'
+wrappers of a host are then aligned in the same way, and counts of texts are summed over all pages.
 Texts that the pages share are fixed and thus boilerplate; the slots' places in the wrapper say which others are the article.
 """
 
@@ -13,18 +14,19 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from cutline.llm.common import stored
+from cutline.llm.common import bounded_batches, stored
 
-#: Pages of a host that its wrapper is learnt from, and tokens of one page that take part in the alignment.
-SAMPLE, TOKENS = 12, 4000
-#: Fixed texts must be on this many sampled pages at least.
+#: Fixed texts must be on this many pages of a host at least.
 SHARED = 3
+#: Hosts and texts that a task holds before it passes on what it has of them.
+HOSTS, TEXTS = 500, 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
@@ -214,17 +216,15 @@ def page_nodes(page: str) -> list[list]:
                 out.append(["text", text])
         else:
             out.append(["tag", f"/{name}" if kind == "close" else _labelled(name, attrs)])
-        if len(out) >= TOKENS:
-            break
     return _folded(out)
 
 
 def aligned(wrapper: list[list], page: list[list]) -> list[list]:
-    """The wrapper generalised to the page: equal shapes are joined; what only one side has becomes optional, or, where it
+    """The wrapper generalised to the page, or to another wrapper: equal shapes are joined; what only one side has becomes optional, or, where it
     repeats its neighbour's shape, that neighbour a repeated group."""
-    bare = [n[1][0] if n[0] == "opt" and len(n[1]) == 1 else n for n in wrapper]
+    bare, plain = ([n[1][0] if n[0] == "opt" and len(n[1]) == 1 else n for n in side] for side in (wrapper, page))
     key = lambda n: "rep:" + _shape(n[1][0]) if n[0] == "rep" else _shape(n)
-    a, b = [key(n) for n in bare], [key(n) for n in page]
+    a, b = [key(n) for n in bare], [key(n) for n in plain]
     out: list[list] = []
 
     def extra(nodes: list[list]) -> None:
@@ -239,9 +239,9 @@ def aligned(wrapper: list[list], page: list[list]) -> list[list]:
 
     for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op == "equal":
-            for x, y, w in zip(bare[i1:i2], page[j1:j2], wrapper[i1:i2], strict=True):
+            for x, y, w, v in zip(bare[i1:i2], plain[j1:j2], wrapper[i1:i2], page[j1:j2], strict=True):
                 node = _joined(x, y)
-                out.append(["opt", [node]] if w[0] == "opt" else node)
+                out.append(["opt", [node]] if "opt" in (w[0], v[0]) else node)
         else:
             extra(wrapper[i1:i2])
             extra(page[j1:j2])
@@ -269,31 +269,50 @@ def expression(wrapper: list[list]) -> str:
     return "".join(out)
 
 
+def _texts(wrapper: list[list]) -> set[str]:
+    """The fixed texts of a wrapper."""
+    out: set[str] = set()
+    for kind, value in wrapper:
+        if kind == "text" and value is not None:
+            out.add(value)
+        elif kind in ("opt", "rep"):
+            out |= _texts(value)
+    return out
+
+
+def _hash(text: str) -> int:
+    """Fixed texts are counted and known by 64 bits of a hash, so that articles are not shuffled."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+
+
+def _counts(page: str) -> dict[tuple[int, str], list[int]]:
+    """(text, container): [1 where the page first has the text, characters that may be main text]."""
+    out: dict[tuple[int, str], list[int]] = {}
+    seen: set[int] = set()
+    for path, skipped, links, text in blocks(page):
+        h = _hash(text)
+        n = out.setdefault((h, _container(path)), [0, 0])
+        n[0] += h not in seen
+        seen.add(h)
+        if not skipped and 2 * links <= len(text):
+            n[1] += len(text)
+    return out
+
+
 def learn(pages: list[str]) -> dict:
-    """What a host's wrapper says: its expression, the fixed texts, and where the slots with the article's text are."""
+    """What a host's wrapper says: its expression, the fixed texts (hashes), and where the slots with the article's text are."""
     wrapper = infer(pages)
-    fixed: set[str] = set()
-    if len(pages) >= SHARED:
-        def walk(nodes: list[list]) -> None:
-            for kind, value in nodes:
-                if kind == "text" and value is not None:
-                    fixed.add(value)
-                elif kind in ("opt", "rep"):
-                    walk(value)
-
-        walk(wrapper)
-        on: dict[str, int] = {}
-        for page in pages:
-            for text in {t for *_, t in blocks(page)}:
-                on[text] = on.get(text, 0) + 1
-        # A repeated group has slots only, so a text that nearly all pages share counts as fixed wherever it stands.
-        fixed = {t for t, n in on.items() if n >= max(SHARED, len(pages) // 2) and (t in fixed or 10 * n >= 9 * len(pages))}
+    inside = {_hash(t) for t in _texts(wrapper)}
+    every = [item for page in pages for item in _counts(page).items()]
+    on: dict[int, int] = {}
+    for (h, _), (n, _) in every:
+        on[h] = on.get(h, 0) + n
+    # A repeated group has slots only, so a text that nearly all pages share counts as fixed wherever it stands.
+    fixed = {h for h, n in on.items() if n >= max(SHARED, len(pages) // 2) and (h in inside or 10 * n >= 9 * len(pages))}
     mass: dict[str, int] = {}
-    for page in pages:
-        for path, skipped, links, text in blocks(page):
-            if not skipped and 2 * links <= len(text) and text not in fixed:
-                top = _container(path)
-                mass[top] = mass.get(top, 0) + len(text)
+    for (h, top), (_, size) in every:
+        if size and h not in fixed:
+            mass[top] = mass.get(top, 0) + size
     return {"wrapper": expression(wrapper), "fixed": sorted(fixed), "main": max(sorted(mass), key=mass.get) if mass else ""}
 
 
@@ -311,7 +330,7 @@ def main_text(page: str | None, rules: dict | None) -> str:
     own: the article or main element, or the surroundings with most text outside links."""
     found = [(path, text, links) for path, skipped, links, text in blocks(page or "") if not skipped]
     fixed = set((rules or {}).get("fixed", ()))
-    found = [(p, t, k) for p, t, k in found if t not in fixed or any(x in MAIN for x in p.split("/"))]
+    found = [(p, t, k) for p, t, k in found if not fixed or _hash(t) not in fixed or any(x in MAIN for x in p.split("/"))]
     main = (rules or {}).get("main")
     inside = lambda p, top: p == top or p.startswith(top + "/") if top else True
     if main and any(inside(p, main) for p, _, _ in found):
@@ -332,35 +351,76 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def learn_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host and rules (JSON), from at most ``sample`` pages of each host: those with the smallest hashes of their ids.
+_PART = "host string, first long, pages long, wrapper string, text long, top string, n long, mass long"
 
-    The sample of a host that holds a third of all pages is found in two steps, the least of each of 64 parts first, with
-    map-side combining; so no host's pages meet in one task.
-    """
-    thin = pages.where("page_id is not null").select(F.col("page_id"), host(F.col("url")).alias("host"), F.xxhash64("page_id").alias("h"))
-    least = thin.groupBy("host", F.pmod("h", F.lit(64)).alias("part")).agg(F.min(F.struct("h", "page_id")).alias("m"))
-    order = W.partitionBy("host").orderBy("m.h", "m.page_id")  # 64 rows of a host at most
-    ids = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("host", F.col("m.page_id").alias("page_id"))
-    ids = stored(ids, "page-sample")
-    chosen = pages.where("page_id is not null").select("page_id", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).join(ids, ["host", "page_id"])
-    chosen = chosen.groupBy("host", "page_id").agg(F.min("html").alias("html"))
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_id")
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rules": [json.dumps(learn(pdf["html"].tolist()))]})
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a task's pages say of their hosts: rows with a wrapper and the number of its pages, and rows with counts of texts."""
+    hosts: dict[str, list] = {}
+    texts: dict[tuple[str, int, str], list[int]] = {}
+    columns = [c.split()[0] for c in _PART.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("first", "pages", "text", "n", "mass")})
 
-    return stored(chosen.groupBy("host").applyInPandas(of, "host string, rules string"), "wrappers")
+    def flushed(some: bool) -> Iterator[pd.DataFrame]:
+        if len(hosts) >= (HOSTS if some else 1):
+            yield frame([(h, first, n, json.dumps(w), None, None, None, None) for h, (first, n, w) in hosts.items()])
+            hosts.clear()
+        if len(texts) >= (TEXTS if some else 1):
+            yield frame([(h, None, None, None, t, top, n, mass) for (h, t, top), (n, mass) in texts.items()])
+            texts.clear()
 
+    for pdf in batches:
+        for page_id, h, html in zip(pdf["page_id"].tolist(), pdf["host"], pdf["html"], strict=True):
+            nodes = page_nodes(html)
+            first, n, wrapper = hosts.get(h, (page_id, 0, None))
+            hosts[h] = [min(first, page_id), n + 1, nodes if wrapper is None else aligned(wrapper, nodes)]
+            for (t, top), (n, mass) in _counts(html).items():
+                own = texts.setdefault((h, t, top), [0, 0])
+                own[0] += n
+                own[1] += mass
+            yield from flushed(True)
+    yield from flushed(False)
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+
+def learn_wrappers(pages: DataFrame) -> DataFrame:
+    """host and rules (JSON), from all rows with a page_id; of repeated rows each counts.
+
+    Pages are not shuffled: of a host, the wrapper of each task's pages is, and the counts of its texts by hash, summed with map-side combining. So
+    no host's pages meet in one task; a group holds one small wrapper for each task.
+    """
+    thin = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    bounded_batches(pages.sparkSession)
+    parts = stored(thin.mapInPandas(_parts, _PART), "wrapper-parts")
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        wrapper = reduce(aligned, map(json.loads, pdf.sort_values(["first", "wrapper"])["wrapper"]))
+        inside = sorted({_hash(t) for t in _texts(wrapper)})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "pages": [int(pdf["pages"].sum())], "wrapper": [expression(wrapper)], "inside": [inside]})
+
+    hosts = parts.where("wrapper is not null").select("host", "first", "pages", "wrapper")
+    hosts = stored(hosts.groupBy("host").applyInPandas(merged, "host string, pages long, wrapper string, inside array<long>"), "wrappers")
+    texts = parts.where("text is not null")
+    on = texts.groupBy("host", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
+    half = F.col("n") >= F.floor(F.col("pages") / 2)
+    fixed = on.join(hosts.select("host", "pages", "inside"), "host").where(half & (F.array_contains("inside", F.col("text")) | (10 * F.col("n") >= 9 * F.col("pages"))))
+    fixed = stored(fixed.select("host", "text"), "fixed")
+    mass = texts.where("mass > 0").join(fixed, ["host", "text"], "left_anti").groupBy("host", "top").agg(F.sum("mass").alias("mass"))
+    main = mass.groupBy("host").agg(F.min_by("top", F.struct((-F.col("mass")).alias("m"), "top")).alias("main"))
+    rules = hosts.select("host", "wrapper").join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("fixed")), "host", "left").join(main, "host", "left")
+    filled = F.struct("wrapper", F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"), F.coalesce("main", F.lit("")).alias("main"))
+    return stored(rules.select("host", F.to_json(filled).alias("rules")), "rules")
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
     Null and empty html give an empty text; a null or odd url belongs to the host "", whose pages share a wrapper. Rows with
     a null page_id are extracted but never learnt from; repeated rows keep a row each; an empty table gives no rows; other columns are
-    ignored. Whole pages are read; the alignment sees the first ``TOKENS`` tokens of a sampled page, extraction all of them.
+    ignored. Whole pages are read, by the alignment too.
     """
-    rules = learn_wrappers(pages, sample).select(F.col("host").alias("_host"), F.col("rules").alias("_rules"))
+    rules = learn_wrappers(pages).select(F.col("host").alias("_host"), F.col("rules").alias("_rules"))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("_host"))
     joined = page.join(rules, "_host", "left")
 

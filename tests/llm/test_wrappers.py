@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from cutline.llm.wrappers import blocks, extract, infer, expression, learn, main_text
+from cutline.llm.wrappers import aligned, blocks, extract, infer, expression, learn, learn_wrappers, main_text
 from tests.llm.conftest import LONG
 
 
@@ -64,3 +64,24 @@ def test_extract(spark):
         want = "" if not h else LONG.strip() if i == 54 else text(53 if i is None else i)
         assert (u, want, len(want)) in got[i]
     assert extract(table([])).count() == 0
+
+
+def test_every_page_of_a_host_is_learnt_from(spark):
+    """A text on two thirds of a host's pages, but on none of the forty with the least hashes, which samples were taken from."""
+    import json
+
+    line = "Ask our team at the desk for help"
+    least = {r[0] for r in spark.sql("select id from range(120) order by xxhash64(id) limit 40").collect()}
+    story = lambda i: f"Story {i} has its own words, {i} of them in all."
+    rows = [(i, "http://one.example/a", f"<body><div><p>{story(i)}</p>{'' if i in least else f'<h3>{line}</h3>'}</div></body>") for i in range(120)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [json.loads(r["rules"]) for r in learn_wrappers(table.repartition(5)).collect()]
+    want = learn([h for *_, h in rows])
+    assert len(got) == 1 and got[0]["fixed"] == want["fixed"] and len(want["fixed"]) == 1 and got[0]["main"] == want["main"]
+    assert {r["page_id"]: r["text"] for r in extract(table).collect()} == {i: story(i) for i in range(120)}
+
+
+def test_wrappers_are_aligned_like_pages():
+    pages = [page(i, n=2 + i % 3) for i in range(6)] + [page(9).replace("<aside>Side 9</aside>", "")]
+    both = expression(aligned(infer(pages[:3]), infer(pages[3:])))
+    assert "(<li><a>#TEXT</a></li>)+" in both and "We\\ use\\ cookies" in both and "<h1>#TEXT</h1>" in both and ")?" in both
