@@ -70,3 +70,18 @@ def test_match_block_keeps_rows_that_repeat_or_lack_a_side(spark, table):
     assert got == [
         (1, "a", "b", 1, 1.0, 1.0, 1.0, 5), (1, "a", "b", 1, 1.0, 1.0, 1.0, 5), (1, "b", None, 1, 0.0, 0.0, 0.0, 5), (2, "a", "b", 0, 0.0, 0.0, 0.0, None), (None, "a", "b", 0, 0.0, 0.0, 0.0, None),
     ]
+
+
+def test_fits_of_the_ledger_query_read_a_stored_table(spark, monkeypatch):
+    from cutline.catalog import models
+    from cutline.plans import prediction
+
+    seen = []
+    monkeypatch.setattr(models, "trained", lambda v, rows: seen.append(rows))
+    monkeypatch.setattr(prediction, "predict", lambda rows, version, fitted: rows)
+    v = Views(spark, SF)
+    out = models.predict_ledger_rows(v)
+    assert "Join" not in plan(seen[0]) and "_labels" not in out.columns
+    labels = {r["match_id"]: int(r["home_advances"]) for r in v.results.collect()}
+    assert {r["match_id"]: r["home_advances"] for r in seen[0].select("match_id", "home_advances").collect()} == labels
+    assert out.count() == v.spine.count()
